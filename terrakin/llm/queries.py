@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrakin.llm import simhash
+from terrakin.llm import bpe, simhash, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +16,31 @@ def hex64(col: str) -> F.Column:
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the token queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfile.write(table(spark, sf_dir, "documents"), vocabulary())
+    return tokenfile.read(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), hex64("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op3_token_id_output": op3_token_id_output,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {}
