@@ -13,9 +13,10 @@ budget below one bit, so they are equal: they are the equi-join key. The remaini
 budgets prune the candidates before the full Hamming check.
 
 Buckets (one start segment, one key) of at most ``bucket`` fingerprints enumerate their
-pairs. Larger buckets are resolved exactly without pairs: two fingerprints at distance
-<= 2 share a centre at distance <= 1 from both, so every member is sent to its centres
-(bits outside the key) and linked to the smallest member there.
+pairs. Members of larger buckets are resolved exactly without pairs: two fingerprints at
+distance <= 2 share a centre at distance <= 1 from both, so every such member is sent once
+to its 65 centres and linked to the smallest member there. ``BUCKET`` is the size from
+which a bucket has more pairs than its members have centres.
 
 Defined results: null and empty texts have no shingles and fingerprint 0, linked like any
 other; fewer words than the shingle length make one shingle of all words; repeated rows
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from terrakin.llm.common import components, materialize
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+BUCKET = 2 * 65 + 1
 BLOCK = 1 << 15  # shingles counted at once: bounds memory on very long texts
 
 
@@ -90,7 +92,7 @@ def _viable(diff: F.Column, i: int, m: int, tau: int) -> F.Column:
     return ok
 
 
-def links(fps: DataFrame, tau: int = 2, m: int = 9, bucket: int = 32) -> DataFrame:
+def links(fps: DataFrame, tau: int = 2, m: int = 9, bucket: int = BUCKET) -> DataFrame:
     """(a, b), a < b: pairs of distinct fingerprints whose closure is that of all pairs at
     Hamming distance <= tau (1 or 2). ``fps`` has one row per distinct ``fp``."""
     if not 1 <= tau <= 2:
@@ -112,20 +114,17 @@ def links(fps: DataFrame, tau: int = 2, m: int = 9, bucket: int = 32) -> DataFra
         pruned = F.when(F.col("i") == i, _viable(diff, i, m, tau)).otherwise(pruned)
     near = pairs.filter(pruned).filter(F.bit_count(diff) <= tau).select("a", "b")
 
-    hot = shared.filter(F.col("n") > bucket)
-    flips = [F.filter(F.array(*[F.lit(v) for v in [0, *[_mask([(b, 1)]) for b in range(64)]]]), lambda f, k=k: f.bitwiseAND(F.lit(k)) == 0) for k in keys]
-    choice = flips[0]
-    for i in range(1, m):
-        choice = F.when(F.col("i") == i, flips[i]).otherwise(choice)
-    centres = hot.select("fp", F.explode(choice).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z")).distinct()
+    hot = shared.filter(F.col("n") > bucket).select("fp").distinct()
+    flips = F.array(*[F.lit(v) for v in [0, *[_mask([(b, 1)]) for b in range(64)]]])
+    centres = hot.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
     if tau == 1:
-        centres = centres.filter("fp = z or bit_count(fp ^ z) = 1").join(hot.select(F.col("fp").alias("z")).distinct(), "z", "left_semi")
+        centres = centres.filter("fp = z or bit_count(fp ^ z) = 1").join(hot.select(F.col("fp").alias("z")), "z", "left_semi")
     hub = centres.groupBy("z").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     starred = centres.join(hub.select("z", "a"), "z").filter("fp <> a").select("a", F.col("fp").alias("b"))
     return near.union(starred).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, tau: int = 2, m: int = 9, bucket: int = 32) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, tau: int = 2, m: int = 9, bucket: int = BUCKET) -> DataFrame:
     """(id, fp, component): one row per input row; component is the smallest id reachable."""
     marked = materialize(fingerprints(docs, id_col, text_col, words, seed), "simhash_fp")
     fps = materialize(marked.groupBy("fp").agg(F.min("id").alias("own")), "simhash_distinct")
