@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrakin.llm import bpe, chat, globs, ogg, simhash, tokenfile, topk, toxicity
+from terrakin.llm import bpe, chat, globs, mixing, ogg, simhash, tokenfile, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Target weights of the mixing query: three fifths of the corpus's tokens, at most three
+#: epochs of a source.
+TARGETS = mixing.Targets(lang={"en": 5, "de": 2, "fr": 2, "es": 1}, source={"src0": 3, "src1": 2}, domain={"d0": 4, "d1": 2, "d7": 2}, budget_permille=600, max_epochs=3)
+
+
+def domain() -> F.Column:
+    """A document's domain: a sixteenth of the sources by a hash of their name."""
+    return F.concat(F.lit("d"), F.substring(F.md5(F.coalesce("source", F.lit(""))), 1, 1))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(table(spark, sf_dir, "documents"), TARGETS, domain()).withColumnRenamed("id", "doc_id")
+
+
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write(table(spark, sf_dir, "documents"), vocabulary())
     return tokenfile.read(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -79,6 +93,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_source_mixing": op2_source_mixing,
     "op3_token_id_output": op3_token_id_output,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_chat_formatting": op5_chat_formatting,
@@ -88,7 +103,44 @@ QUERIES = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
+def _fill_sql(nodes: str, parents: str, level: str, weight: str) -> str:
+    """SQL of one level of budgeting; ``nodes`` has cap and the parent's budget."""
+    by = f"PARTITION BY {parents}" if parents else ""
+    return f"""(
+        SELECT * EXCLUDE (budget), CASE WHEN sat THEN cap ELSE (rest * upto) // nullif(wide, 0) - (rest * (upto - ow)) // nullif(wide, 0) END AS budget FROM (
+          SELECT *, sum(ow) OVER ({by}) AS wide, sum(ow) OVER ({by} ORDER BY {level} ROWS UNBOUNDED PRECEDING) AS upto FROM (
+            SELECT *, CASE WHEN sat THEN 0 ELSE w END::HUGEINT AS ow, budget - sum(CASE WHEN sat THEN cap ELSE 0 END) OVER ({by}) AS rest FROM (
+              SELECT *, cap * (sum(w) OVER ({by}) - (sum(w) OVER r - w)) <= (budget - (sum(cap) OVER r - cap)) * w AS sat FROM (
+                SELECT * REPLACE (cap::HUGEINT AS cap, budget::HUGEINT AS budget), ({weight})::HUGEINT AS w FROM {nodes})
+              WINDOW r AS ({by} ORDER BY cap::DOUBLE / w, {level} ROWS UNBOUNDED PRECEDING)))))"""
+
+
+def _case(level: str, names: dict[str, int]) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{n}' THEN {w}" for n, w in names.items()) + " ELSE 1 END"
+
+
+def _mixing_sql() -> str:
+    t = TARGETS
+    d = _fill_sql("(SELECT domain, sum(cap) AS cap, (SELECT budget FROM root) AS budget FROM leaves GROUP BY domain)", "", "domain", _case("domain", t.domain))
+    la = _fill_sql("(SELECT domain, lang, sum(cap) AS cap, any_value(b) AS budget FROM leaves JOIN (SELECT domain, budget AS b FROM dom) USING (domain) GROUP BY domain, lang)", "domain", "lang", _case("lang", t.lang))
+    so = _fill_sql("(SELECT l.*, b AS budget FROM leaves l JOIN (SELECT domain, lang, budget AS b FROM lan) USING (domain, lang))", "domain, lang", "source", _case("source", t.source))
+    return f"""
+        WITH docs AS (
+            SELECT doc_id, 'd' || substr(md5(coalesce(source, '')), 1, 1) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+              len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, (sum(n_tokens) * {t.max_epochs})::HUGEINT AS cap FROM docs GROUP BY ALL),
+        root AS (SELECT least(sum(tokens) * {t.budget_permille} // 1000, sum(cap)) AS budget FROM leaves),
+        dom AS (SELECT * FROM {d}), lan AS (SELECT * FROM {la}),
+        sou AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM {so}),
+        o AS (
+            SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{t.seed}|' || epochs || '|' || coalesce(doc_id::VARCHAR, '')), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS start
+            FROM docs JOIN sou USING (domain, lang, source)),
+        p AS (SELECT *, greatest(0, least(n_tokens, rest - start)) AS prefix FROM o)
+        SELECT doc_id, domain, lang, source, n_tokens, epochs::BIGINT AS epochs, prefix::BIGINT AS prefix_tokens, (epochs * n_tokens + prefix)::BIGINT AS taken_tokens FROM p"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": _mixing_sql(),
     "op4_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
