@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrakin.llm import bpe, chat, globs, mixing, ogg, simhash, tokenfile, topk, toxicity
+from terrakin.llm import bpe, chat, ctw, globs, mixing, ogg, simhash, tokenfile, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return globs.judged(table(spark, sf_dir, "pages"), SITE_RULES).withColumnRenamed("id", "page_id")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.scores(table(spark, sf_dir, "documents"), ~held_out(7, 2)).withColumnRenamed("id", "doc_id")
+    held = F.coalesce(held_out(7, 2), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
 
@@ -100,6 +106,7 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_url_filters": op8_url_filters,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
