@@ -133,3 +133,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = joined.groupBy("root").agg(F.min("own").alias("component"))
     merged = joined.join(least, "root").select("fp", "component")
     return marked.join(merged, "fp").select("id", "fp", "component")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group is kept: the row with
+    the smallest (id, hash of the row), null ids last. Columns are unchanged. The choice goes by
+    partial minima, so a group of copies is never gathered into one task."""
+    whole = F.xxhash64(*[F.col(c) for c in docs.columns])
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), whole.alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.fromiter((fingerprint(t.as_py(), how.get("words", 3), how.get("seed", 42)) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], ["id", "row", "fp"])
+
+    marked = materialize(keyed.mapInArrow(run, "id long, row long, fp long"), "simhash_rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), F.col("row")))
+    fps = materialize(marked.groupBy("fp").agg(first.alias("first")), "simhash_firsts")
+    labels = components(links(fps.select("fp"), how.get("tau", 2), how.get("m", 9), how.get("bucket", BUCKET)), "a", "b")
+    rooted = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    key = ["own_row", "own_id", "unnamed"]
+    kept = rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.row").alias("own_row"), F.col("f.id").alias("own_id"), F.col("f.unnamed").alias("unnamed"))
+    named = F.col(id_col).cast("long")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), whole.alias("own_row"), F.coalesce(named, F.lit(0)).alias("own_id"), named.isNull().alias("unnamed"))
+    # Rows that are equal in every column have equal keys: one of them stays. The join's
+    # partitioning serves the second step as well, so texts are shuffled once.
+    return packed.join(kept, key, "left_semi").dropDuplicates(key).select("d.*")
