@@ -26,14 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from terrakin.llm.pretoken import PIECE, Cutter
-
-
-def _byte_letters() -> dict[str, int]:
-    """The printable stand-ins that byte-level vocabularies use, by letter."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+from terrakin.llm.pretoken import PIECE, Cutter, byte_letters
 
 
 class Bpe:
@@ -41,7 +34,7 @@ class Bpe:
 
     def __init__(self, spec: str, cache: int = 200_000):
         full = json.loads(spec)
-        model, letters = full["model"], _byte_letters()
+        model, letters = full["model"], {c: b for b, c in byte_letters().items()}
         vocab = model["vocab"]
         raw = lambda token: bytes(letters[c] for c in token)
         # Tokens are numbered by rank: bytes first, then merges in order.
@@ -60,10 +53,7 @@ class Bpe:
         self.ids = np.array([shown[t] for t in self.tokens], "<u4")
         self.shorter: list[int] = [next((number[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in number), -1) for t in self.tokens]
         self.sizes = [len(t) for t in self.tokens]
-        self.longest = ahocorasick.Automaton()
-        for k, t in enumerate(self.tokens):
-            self.longest.add_word(t.decode("latin-1"), (len(t) - 1, k))
-        self.longest.make_automaton()
+        self.longest = None
         self.known: dict[tuple[int, int], bool] = {}
         self.whole = number
         special = {t["content"]: t["id"] for t in full.get("added_tokens") or []}
@@ -107,6 +97,11 @@ class Bpe:
         """Token numbers of one piece."""
         if (k := self.whole.get(data)) is not None:
             return [k]
+        if self.longest is None:  # workers that only decode do without it
+            self.longest = ahocorasick.Automaton()
+            for k, t in enumerate(self.tokens):
+                self.longest.add_word(t.decode("latin-1"), (len(t) - 1, k))
+            self.longest.make_automaton()
         # Matches come by their ends, so the longest of each start is the last one kept.
         n, at = len(data), {end - back: k for end, (back, k) in self.longest.iter(data.decode("latin-1"))}
         open_, sizes, known = bytearray(b"\1") * (n + 1), self.sizes, self.known.get

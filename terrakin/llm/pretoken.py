@@ -23,6 +23,13 @@ RUNS = tuple(a + b + c for a in " \n" for b in " \n" for c in " \n")
 ENDS = ("  ", " \n", "\n ", "\n\n")
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable stand-ins that byte-level vocabularies use, by byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Cache(dict):
     """part -> encoded bytes, in two generations of at most ``size`` parts each: a part that
     is not seen for a whole generation is forgotten."""
