@@ -21,6 +21,7 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPAC
 RARE = re.compile("[" + SPACE.replace(" ", "").replace("\n", "") + "\x1c-\x1f]")
 RUNS = tuple(a + b + c for a in " \n" for b in " \n" for c in " \n")
 ENDS = ("  ", " \n", "\n ", "\n\n")
+TAIL = ".,;:!?)"
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,6 +50,11 @@ class Cache(dict):
         return got
 
 
+def letters_only(word: str) -> bool:
+    """Whether a word is letters below U+0250, on which all Unicode versions agree."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 def simple(text: str) -> bool:
     """Whether cutting at line ends and spaces is exact."""
     return not (text.endswith(ENDS) or any(r in text for r in RUNS) or RARE.search(text))
@@ -59,8 +65,19 @@ class Cutter:
     at piece boundaries."""
 
     def __init__(self, encode: Callable[[str], bytes], special: dict[str, bytes], size: int = 200_000):
-        self.bare = Cache(encode, size)
-        self.spaced = Cache(lambda part: encode(" " + part), size)
+        def split_tail(part: str) -> str | None:
+            word = part.rstrip(TAIL)  # a word and the punctuation behind it are two pieces
+            return None if len(word) in (0, len(part)) or not letters_only(word) else word
+
+        def after(cache: str, lead: str) -> Callable[[str], bytes]:
+            def run(part: str) -> bytes:
+                word = split_tail(part)
+                return encode(lead + part) if word is None else getattr(self, cache)[word] + self.bare[part[len(word) :]]
+
+            return run
+
+        self.bare = Cache(after("bare", ""), size)
+        self.spaced = Cache(after("spaced", " "), size)
         self.special = special
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 

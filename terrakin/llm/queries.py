@@ -50,7 +50,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write(table(spark, sf_dir, "documents"), vocabulary())
-    return tokenfile.read(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return tokenfile.read(manifest, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

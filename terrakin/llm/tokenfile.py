@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from terrakin.llm.common import materialize, scratch
-from terrakin.llm.pretoken import PIECE, Cutter, byte_letters
+from terrakin.llm.pretoken import PIECE, Cutter, byte_letters, letters_only
 
 MAGIC = b"TKIDS001"
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.uint8)
@@ -103,11 +103,15 @@ def _cutter(spec: str) -> Cutter:
     from tokenizers import Tokenizer
 
     model, letters = Tokenizer.from_str(spec).model, byte_letters()
+    space = letters[32]
     special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in json.loads(spec).get("added_tokens") or []}
 
     def encode(part: str) -> bytes:
-        word = part[1:]
-        pieces = [part] if word.isascii() and word.isalpha() and part[0] == " " else PIECE.findall(part)
+        word = part[1:] if part[0] == " " else part
+        if word.isascii() and word.isalpha():
+            got = [t.id for t in model.tokenize(space + word if word is not part else word)]
+            return struct.pack(f"<{len(got)}I", *got)
+        pieces = [part] if letters_only(word) else PIECE.findall(part)
         ids: list[int] = []
         for p in pieces:
             ids += [t.id for t in model.tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
@@ -158,9 +162,9 @@ def write(docs: DataFrame, vocabulary: str, folder: str | None = None, id_col: s
     return full.select("pid", "seq", F.concat(F.lit(folder.rstrip("/") + "/"), "path").alias("path"), "n_docs", "n_tokens", (F.col("before") + F.col("within")).alias("start"))
 
 
-def read(manifest: DataFrame) -> DataFrame:
+def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """(id, start, n_tokens, ids_crc32, ids): every document, from the shards' bytes; ids are
-    little-endian unsigned 32-bit integers."""
+    little-endian unsigned 32-bit integers (null unless ``with_ids``)."""
     shards = manifest.select("path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +179,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     b = min(a + 2000, len(docs))
                     cut = [raw[4 * (ends[k] - counts[k]) : 4 * ends[k]] for k in range(a, b)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[a:b], pa.int64()), pa.array(start + ends[a:b] - counts[a:b]), pa.array(counts[a:b]), pa.array([zlib.crc32(x) for x in cut], pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())],
+                        [pa.array(docs[a:b], pa.int64()), pa.array(start + ends[a:b] - counts[a:b]), pa.array(counts[a:b]), pa.array([zlib.crc32(x) for x in cut], pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary()) if with_ids else pa.nulls(b - a, pa.binary())],
                         ["id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
 
