@@ -29,10 +29,36 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from terrakin.llm.pretoken import PIECE, Cutter, byte_letters
 
 
+class OffsetTable:
+    """The decoder: all tokens' bytes in one array, with starts and lengths by id."""
+
+    def __init__(self, spec: str):
+        full, letters = json.loads(spec), {c: b for b, c in byte_letters().items()}
+        text = {v: bytes(letters[c] for c in t) for t, v in full["model"]["vocab"].items()}
+        text |= {t["id"]: t["content"].encode() for t in full.get("added_tokens") or []}
+        self.lengths = np.zeros(max(text) + 1, np.int64)
+        for v, t in text.items():
+            self.lengths[v] = len(t)
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        self.blob = np.frombuffer(b"".join(text[v] for v in sorted(text)), np.uint8)
+
+    def decode(self, ids: bytes, block: int = 1 << 18) -> str:
+        """The text of such ids; bytes that are no UTF-8 become U+FFFD."""
+        every, parts = np.frombuffer(ids, "<u4"), []
+        for a in range(0, len(every), block):
+            some = every[a : a + block]
+            size = self.lengths[some]
+            ends = np.cumsum(size)
+            where = np.repeat(self.starts[some] - ends + size, size)
+            where += np.arange(len(where))
+            parts.append(self.blob[where].tobytes())
+        return b"".join(parts).decode("utf-8", "replace")
+
+
 class Bpe:
     """A vocabulary file of the tokenizers library (byte-level BPE), as an encoder."""
 
-    def __init__(self, spec: str, cache: int = 200_000):
+    def __init__(self, spec: str, cache: int = 150_000):
         full = json.loads(spec)
         model, letters = full["model"], {c: b for b, c in byte_letters().items()}
         vocab = model["vocab"]
@@ -58,13 +84,6 @@ class Bpe:
         self.whole = number
         special = {t["content"]: t["id"] for t in full.get("added_tokens") or []}
         self.cut = Cutter(self._part, {s: np.array([v], "<u4").tobytes() for s, v in special.items()}, cache)
-        # The offset table: all tokens' bytes in one array, with starts and lengths by id.
-        text = {**{int(v): t for v, t in zip(self.ids, self.tokens)}, **{v: s.encode() for s, v in special.items()}}
-        lengths = np.zeros(max(text) + 1, np.int64)
-        for v, t in text.items():
-            lengths[v] = len(t)
-        self.lengths, self.starts = lengths, np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        self.blob = np.frombuffer(b"".join(text[v] for v in sorted(text)), np.uint8)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``left, right`` stay two tokens: undo merges from the latest rank down and
@@ -88,7 +107,7 @@ class Bpe:
                     else:
                         limit, left = left, nxt
                 right = half
-        if len(self.known) >= 1_000_000:
+        if len(self.known) >= 400_000:
             self.known.clear()
         self.known[key] = ok
         return ok
@@ -133,18 +152,6 @@ class Bpe:
         """Ids as little-endian unsigned 32-bit integers."""
         return self.cut(text) if text else b""
 
-    def decode(self, ids: bytes, block: int = 1 << 18) -> str:
-        """The text of such ids; bytes that are no UTF-8 become U+FFFD."""
-        every, parts = np.frombuffer(ids, "<u4"), []
-        for a in range(0, len(every), block):
-            some = every[a : a + block]
-            size = self.lengths[some]
-            ends = np.cumsum(size)
-            where = np.repeat(self.starts[some] - ends + size, size)
-            where += np.arange(len(where))
-            parts.append(self.blob[where].tobytes())
-        return b"".join(parts).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def loaded(spec: str) -> Bpe:
@@ -152,6 +159,12 @@ def loaded(spec: str) -> Bpe:
     return Bpe(spec)
 
 
+@lru_cache(maxsize=2)
+def table(spec: str) -> OffsetTable:
+    """One decoder for each vocabulary in a worker process."""
+    return OffsetTable(spec)
+
+
 def _vocabulary(df: DataFrame, path: str):
     """The vocabulary file (its size is fixed) as a broadcast of the driver's copy."""
     with open(path, encoding="utf-8") as f:
@@ -176,7 +189,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     spec = _vocabulary(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(spec.value)
+        bpe = table(spec.value)
         for batch in batches:
             text = pa.array([bpe.decode(b.as_py() or b"") for b in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], ["id", "ids", "text"])
