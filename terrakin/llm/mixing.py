@@ -35,6 +35,8 @@ from terrakin.llm.common import materialize
 TREE = ["domain", "lang", "source"]
 WORD = r"[^\x20\x09-\x0D]+"
 EXACT = "decimal(38,0)"
+#: Plans of up to so many leaves (some MB) are broadcast; larger ones meet salted rows.
+FEW_LEAVES, SALTS = 20_000, 64
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,12 @@ def leaf_columns(docs: DataFrame, domain: Column, id_col: str, text_col: str) ->
 def _ordered(rows: DataFrame, plan: DataFrame, targets: Targets) -> DataFrame:
     """Rows with their leaf's plan and the hex key of the last epoch's order."""
     key = F.md5(F.concat_ws("|", F.lit(str(targets.seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    return rows.join(plan, TREE).withColumn("key", key).withColumn("k1", F.substring("key", 1, 3)).withColumn("k2", F.substring("key", 4, 3))
+    if plan.count() <= FEW_LEAVES:
+        met = rows.join(F.broadcast(plan), TREE)
+    else:  # a hot leaf's rows go to SALTS tasks
+        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "tie"), F.lit(SALTS)).cast("int")).join(salted, [*TREE, "salt"]).drop("salt")
+    return met.withColumn("key", key).withColumn("k1", F.substring("key", 1, 3)).withColumn("k2", F.substring("key", 4, 3))
 
 
 def _end(rows: DataFrame, part: str, base: Column) -> DataFrame:
