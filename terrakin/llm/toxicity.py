@@ -5,11 +5,12 @@ makes it shorter.
 Windows are ``WORDS`` consecutive words (white space folded to one space, A-Z lower-cased,
 cut again at ``WIDEST`` bytes), so every byte of a whole text is scored. Toxic documents are
 mostly ordinary text, so the toxic dictionary is learned from their telling passages: runs
-of overlapping ``GRAM``-byte strings whose document frequency is higher in toxic documents
+of overlapping strings of ``GRAMS`` bytes (the longer ones at word starts) whose document frequency is higher in toxic documents
 by ``Z`` standard errors and a factor of ``LIFT``. Both dictionaries hold the same ordinary
 passages behind that; the ordinary one has further ordinary text in the place of the toxic
 passages. On documents that the dictionaries have not seen, a logistic curve is calibrated
-on how far the windows' savings stand out (mean of exp(savings / 2), and the largest).
+on how far the windows' savings stand out: the mean of exp(savings / 2), the largest, and
+the sum of what is above ``QUIET`` bytes.
 
 Labels come from a bounded sample: at most ``per_class`` labelled documents of each class,
 the smallest by a hash of their id, and of each the first ``SAMPLE_BYTES`` characters (this
@@ -37,9 +38,10 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-WORDS, WIDEST = 16, 1024
-GRAM, Z, LIFT = 5, 7.0, 15.0
-TOXIC_BYTES, PLAIN_BYTES, SAMPLE_BYTES = 4_096, 24_576, 16_384
+WORDS, WIDEST = 8, 1024
+GRAMS, Z, LIFT = (5, 8), 7.0, 4.0
+QUIET = 3
+TOXIC_BYTES, PLAIN_BYTES, SAMPLE_BYTES = 4_096, 8_192, 16_384
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -53,11 +55,11 @@ def windows(text: str | None) -> list[bytes]:
 
 @dataclass
 class Model:
-    """Both dictionaries and the logistic curve (bias, weights of the two features)."""
+    """Both dictionaries and the logistic curve (bias, weights of the features)."""
 
     toxic: bytes = b""
     plain: bytes = b""
-    curve: tuple[float, float, float] = (-50.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (-50.0, 0.0, 0.0, 0.0)
 
     def __post_init__(self) -> None:
         self.pair = None
@@ -77,11 +79,12 @@ class Model:
         a, b = self.pair
         return np.fromiter((len(b(w)) - len(a(w)) for w in windows(text)), np.int32)
 
-    def features(self, text: str | None) -> tuple[float, float]:
+    def features(self, text: str | None) -> tuple[float, float, float]:
         saved = self.savings(text)
         if not len(saved):
-            return 0.0, 0.0
-        return math.log(float(np.exp(np.minimum(saved, 40) / 2).mean())), float(saved.max())
+            return 0.0, 0.0, 0.0
+        loud = int(np.maximum(saved - QUIET, 0).sum())
+        return math.log(float(np.exp(np.minimum(saved, 40) / 2).mean())), float(saved.max()), math.log1p(loud)
 
     def score(self, text: str | None) -> float:
         z = self.curve[0]
@@ -91,8 +94,12 @@ class Model:
 
 
 def telling(toxic: list[bytes], plain: list[bytes]) -> set[bytes]:
-    """The strings of GRAM bytes that mark toxic documents."""
-    grams = lambda b: {b[k : k + GRAM] for k in range(len(b) - GRAM + 1)}
+    """The strings of GRAMS bytes that mark toxic documents."""
+    short, long = GRAMS
+
+    def grams(b: bytes) -> set[bytes]:
+        return {b[k : k + short] for k in range(len(b) - short + 1)} | {b[k : k + long] for k in range(len(b) - long + 1) if b[k] == 32}
+
     seen = [Counter(g for b in side for g in grams(b)) for side in (plain, toxic)]
     n0, n1 = len(plain), len(toxic)
 
@@ -107,13 +114,14 @@ def telling(toxic: list[bytes], plain: list[bytes]) -> set[bytes]:
 def passages(data: bytes, grams: set[bytes]) -> list[bytes]:
     """The runs of ``data`` that telling strings cover."""
     out, begin, end = [], 0, -1
-    for k in range(len(data) - GRAM + 1):
-        if data[k : k + GRAM] in grams:
-            if k > end:
-                if end > 0:
-                    out.append(data[begin:end])
-                begin = k
-            end = k + GRAM
+    for k in range(len(data) - GRAMS[0] + 1):
+        for n in GRAMS:
+            if data[k : k + n] in grams:
+                if k > end:
+                    if end > 0:
+                        out.append(data[begin:end])
+                    begin = k
+                end = max(end, k + n)
     return out + [data[begin:end]] * (end > 0)
 
 
@@ -122,7 +130,7 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
     calibrate. ``weights``: of a document of class 0 and 1 in the calibration."""
     total = [weights[k] * labels.count(k) for k in (0, 1)]
     prior = math.log(max(total[1], 1e-9) / max(total[0], 1e-9))
-    flat = Model(curve=(max(-50.0, min(50.0, prior)), 0.0, 0.0))
+    flat = Model(curve=(max(-50.0, min(50.0, prior)), 0.0, 0.0, 0.0))
     if not labels:
         return Model()
     sides = {k: [t for t, y in zip(texts, labels) if y == k] for k in (0, 1)}
