@@ -1,78 +1,8 @@
-"""Shared plumbing of the training-data operators: the cluster's shared folder, written
-intermediate tables and connected components."""
+"""Shared plumbing of the training-data operators, from the engine's own."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from terrakin.operators.components import components
+from terrakin.storage import materialize, scratch, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it
-    is unset (tests, one machine) a temporary folder is made and set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    app = sc.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="terrakin-shared-")
-        sc.setCheckpointDir(_own[app])
-    return _own[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone: the folder's own retention applies
-        pass
-
-
-_scratch: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; everything below this run's folder goes at exit."""
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        _scratch[app] = f"{shared_dir(spark).rstrip('/')}/terrakin-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _scratch[app])
-    return f"{_scratch[app]}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost
-    executor costs only the tasks it ran."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
-    """(node, root): the smallest node of each connected component, for every node of an
-    edge. Alternating large-star and small-star steps (Kiveris et al. 2014): each step is a
-    partial-aggregated min and a join, so a hub is never gathered into one task."""
-    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v")))
-        now = materialize(small.filter("u <> v").distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not converge")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+__all__ = ["components", "materialize", "scratch", "shared_dir"]
