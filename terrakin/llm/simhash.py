@@ -18,6 +18,13 @@ distance <= 2 share a centre at distance <= 1 from both, so every such member is
 to its 65 centres and linked to the smallest member there. ``BUCKET`` is the size from
 which a bucket has more pairs than its members have centres.
 
+A similarity of shingle sets (Jaccard) is beyond any usable ``tau``: at 0.8 two fingerprints
+differ in 10 of 64 bits on average. ``unlike`` therefore has links of its own: texts whose
+MinHashes agree in one of ``BANDS`` bands of ``ROWS`` are candidates, and candidates are
+compared by their whole sets. A pair at exactly 0.8 shares no band with probability 6e-5.
+Buckets of at most ``PAIRED`` sets compare all pairs; in larger ones each member is compared
+with ``HUBS`` others, so a link there can be missed where no chain of links joins the two.
+
 Defined results: null and empty texts have no shingles and fingerprint 0, linked like any
 other; fewer words than the shingle length make one shingle of all words; repeated rows
 stay repeated; a null id keeps its row and never names a component unless no other id
@@ -27,7 +34,7 @@ does; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,25 +46,50 @@ from terrakin.llm.common import components, materialize
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BUCKET = 2 * 65 + 1
 BLOCK = 1 << 15  # shingles counted at once: bounds memory on very long texts
+BANDS, ROWS, PAIRED, HUBS = 32, 6, 32, 4
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
+FACTORS, SHIFTS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of one text."""
+def _shingles(text: str | None, words: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles, in blocks."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(parts) - words + 1)
     lo, hi = starts[:n].tolist(), ends[min(words, len(parts)) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(lo[at : at + BLOCK], hi[at : at + BLOCK])), np.uint64)
+        yield np.fromiter((digest(joined[a:b], seed) for a, b in zip(lo[at : at + BLOCK], hi[at : at + BLOCK])), np.uint64)
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of one text."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in _shingles(text, words, seed):
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(text, words, seed)]))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHashes of a set; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    short, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(short), 1024):
+        np.minimum(least, (short[at : at + 1024, None] * FACTORS + SHIFTS).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp): one row per input row; fp is the fingerprint as a signed long."""
 
@@ -135,6 +167,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(merged, "fp").select("id", "fp", "component")
 
 
+def _firsts(docs: DataFrame, id_col: str, rooted: DataFrame) -> DataFrame:
+    """The row of ``docs`` that is the least ``first`` of each ``root``."""
+    whole = F.xxhash64(*[F.col(c) for c in docs.columns])
+    key = ["own_row", "own_id", "unnamed"]
+    kept = rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.row").alias("own_row"), F.col("f.id").alias("own_id"), F.col("f.unnamed").alias("unnamed"))
+    named = F.col(id_col).cast("long")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), whole.alias("own_row"), F.coalesce(named, F.lit(0)).alias("own_id"), named.isNull().alias("unnamed"))
+    # Rows that are equal in every column have equal keys: one of them stays. The join's
+    # partitioning serves the second step as well, so texts are shuffled once.
+    return packed.join(kept, key, "left_semi").dropDuplicates(key).select("d.*")
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group is kept: the row with
     the smallest (id, hash of the row), null ids last. Columns are unchanged. The choice goes by
@@ -152,10 +196,63 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = materialize(marked.groupBy("fp").agg(first.alias("first")), "simhash_firsts")
     labels = components(links(fps.select("fp"), how.get("tau", 2), how.get("m", 9), how.get("bucket", BUCKET)), "a", "b")
     rooted = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    key = ["own_row", "own_id", "unnamed"]
-    kept = rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.row").alias("own_row"), F.col("f.id").alias("own_id"), F.col("f.unnamed").alias("unnamed"))
+    return _firsts(docs, id_col, rooted)
+
+
+def _alike(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, permille: int, words: int, seed: int) -> DataFrame:
+    """(a, b): bodies (digests of sets) whose shingle sets are alike in ``permille`` thousandths or more.
+    ``nodes`` has body, size, keys and first, the (unnamed, id, row) of one row with it."""
+    posted = nodes.select("body", "size", F.posexplode("keys").alias("band", "key"))
+    sizes = posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialize(posted.join(sizes, ["band", "key"]), "simhash_bands")
+    cold = shared.filter(F.col("n") <= PAIRED).groupBy("band", "key").agg(F.sort_array(F.collect_list(F.struct("body", "size"))).alias("all"))
+    pairs = cold.select(F.posexplode("all").alias("at", "x"), "all")
+    pairs = pairs.select("x", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("y"))
+    hot = shared.filter(F.col("n") > PAIRED)
+    least = [F.min(F.struct(F.xxhash64("body", F.lit(k)), "body", "size")) for k in range(HUBS)]
+    hubs = hot.groupBy("band", "key").agg(F.array(*least).alias("hubs")).select("band", "key", F.explode("hubs").alias("hub"))
+    starred = hot.join(hubs, ["band", "key"]).select(F.struct("body", "size").alias("x"), F.struct("hub.body", "hub.size").alias("y"))
+    both = pairs.union(starred.filter("x.body <> y.body").select(F.least("x", "y"), F.greatest("x", "y")))
+    fits = F.least("x.size", "y.size") * 1000 >= F.greatest("x.size", "y.size") * permille
+    near = materialize(both.filter(fits).select(F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct(), "simhash_candidates")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(t.as_py(), words, seed).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["body", "grams"])
+
+    asked = near.select(F.col("a").alias("body")).union(near.select(F.col("b").alias("body"))).distinct()
+    asked = asked.join(nodes.select("body", F.col("first.id").alias("own_id"), F.col("first.unnamed").alias("unnamed"), F.col("first.row").alias("own_row")), "body")
     named = F.col(id_col).cast("long")
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), whole.alias("own_row"), F.coalesce(named, F.lit(0)).alias("own_id"), named.isNull().alias("unnamed"))
-    # Rows that are equal in every column have equal keys: one of them stays. The join's
-    # partitioning serves the second step as well, so texts are shuffled once.
-    return packed.join(kept, key, "left_semi").dropDuplicates(key).select("d.*")
+    texts = docs.select(F.coalesce(named, F.lit(0)).alias("own_id"), named.isNull().alias("unnamed"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("own_row"), F.col(text_col).alias("t"))
+    found = texts.join(asked, ["own_id", "unnamed", "own_row"]).dropDuplicates(["body"]).select("body", "t")
+    sets = materialize(found.mapInArrow(run, "body long, grams array<long>"), "simhash_sets")
+    met = near.join(sets.select(F.col("body").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("body").alias("b"), F.col("grams").alias("gb")), "b")
+    met = met.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"), (F.size("ga") + F.size("gb")).alias("all"))
+    return met.filter(F.col("common") * 1000 >= (F.col("all") - F.col("common")) * permille).select("a", "b")
+
+
+def unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, permille: int = 800, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each group of texts is kept whose sets of
+    shingles are alike in ``permille`` thousandths or more; the choice is that of
+    ``representatives``."""
+    whole = F.xxhash64(*[F.col(c) for c in docs.columns])
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), whole.alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, size, keys = np.zeros(batch.num_rows, np.uint64), [], []
+            for k, t in enumerate(batch.column(1)):
+                own = shingle_set(t.as_py(), words, seed)
+                body[k] = xxhash.xxh64_intdigest(own.tobytes())
+                size.append(len(own)), keys.append(bands(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(body.view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "body", "size", "keys"])
+
+    marked = keyed.mapInArrow(run, "id long, row long, body long, size long, keys array<long>")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), F.col("row")))
+    nodes = materialize(marked.groupBy("body").agg(first.alias("first"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "simhash_bodies")
+    labels = components(_alike(docs, id_col, text_col, nodes, permille, words, seed), "a", "b")
+    rooted = nodes.join(labels.withColumnRenamed("node", "body"), "body", "left").select(F.coalesce("root", "body").alias("root"), "first")
+    return _firsts(docs, id_col, rooted)

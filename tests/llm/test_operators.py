@@ -234,6 +234,52 @@ def test_simhash_edges(spark, odd, empty):
     assert kept.columns == odd.columns and kept.filter("doc_id in (5, 6)").isEmpty() and kept.filter("doc_id = 4").count() == 1
 
 
+def brute_set(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(simhash.LOWER))
+    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_drops_edited_copies(spark):
+    """Copies with edits that leave five-word similarity over or under 0.8, and a large group."""
+    rng = random.Random(5)
+    rows = []
+    for base in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows.append((base, " ".join(words)))
+        for k, edits in enumerate((1, 3, 4, 9)):
+            new = words[:]
+            for e in range(edits):
+                new[20 * e + 10] = f"x{rng.randrange(10**6)}"
+            rows.append((1000 * (k + 1) + base, " ".join(new)))
+    common = [f"c{k}" for k in range(200)]
+    for k in range(90):
+        new = common[:]
+        new[10 + 2 * k] = f"y{k}"
+        rows.append((9000 + k, " ".join(new)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = {r[0] for r in stage(spark, df, SF).select("doc_id").collect()}
+    assert kept == {*range(40), *range(4000, 4040), 9000}
+
+
+def test_pipeline_keeps_no_two_texts_alike(spark, odd, empty):
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = [brute_set(r["text"]) for r in stage(spark, docs(spark), SF).collect()]
+    assert not any(5 * len(a & b) >= 4 * len(a | b) for k, a in enumerate(kept) for b in kept[:k] if a or b)
+    gone = stage(spark, odd, SF)
+    assert gone.columns == odd.columns and gone.filter("doc_id = 4").count() == 1 and gone.filter("doc_id in (1, 2, 5, 6, 8)").isEmpty()
+    assert stage(spark, empty, SF).isEmpty()
+
+
+def test_bands_reach_similar_sets():
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        met += bool((simhash.bands(pool[:90]) == simhash.bands(pool[10:])).any())
+    assert met == 200 and not len(simhash.bands(pool[:0]))
+
+
 def test_globs_by_regular_expressions():
     def pattern(g):
         return re.compile("".join({"**": "[\\s\\S]*", "*": "[^/]*", "?": "[^/]"}.get(p) or re.escape(p[-1]) for p in re.findall(r"\*\*|\*|\?|\\.|.", g)))
