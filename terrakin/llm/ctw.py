@@ -10,10 +10,17 @@ all depths with the posterior weights of the training data. A text's score is lo
 product over all its bytes and an end symbol (byte 0xFF), with line ends before its start;
 ``-score * log2(10) / bytes`` is its code length in bits per byte.
 
-Contexts are the last four bytes, coarser with distance: 64, 32, 16 and 8 classes of bytes
-(letters by name, then by kind; upper case folded; UTF-8 lead and continuation bytes on
-their own). This fixes the model's size at 2**18 contexts whatever the corpus, which is the
-proven bound of what is collected and broadcast (at most 2**26 counts, 305 MB of float32).
+Contexts are the last ``DEEP`` bytes, exact, and all shorter ones. Their counts are a table
+that grows with the corpus and is never in one place: the subtrees below a context of three
+bytes are worked off in the partition that holds it, and only the nodes of at most two bytes
+of context (2**16 contexts at most) meet on the driver. Below depth 2 the probability of a
+decision is ``mix + weight * inner``, with mix and weight of its depth-2 node and inner of
+the subtree alone, so one pass over the table is enough. Each (context, byte) of any text
+gets its log10 probability; those that make up at least ``1 / KNOWN`` of all bytes are at
+most ``KNOWN`` and are broadcast, the occurrences of all others meet theirs in a shuffle.
+
+``Model`` is the bounded form of earlier rounds (four bytes in 64, 32, 16 and 8 classes,
+2**18 contexts); no query uses it.
 
 The unigram base adds log10((c + 1) / (N + V + 1)) over words and the end. Words that make up
 at least ``1 / HEAVY`` of all tokens are at most ``HEAVY`` and are broadcast with their counts;
@@ -29,7 +36,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +51,8 @@ HEAVY = 200_000
 DEPTH, BITS = 4, (6, 5, 4, 3)
 SHIFTS = (12, 7, 3, 0)  # of a leaf context, to the ancestors at depths 1 to 4
 CHUNK, FLUSH = 1 << 20, 300_000
+DEEP, TOP = 6, 2  # bytes of context, and those of the nodes on the driver
+KNOWN = 2_000_000
 
 
 def _classes() -> list[np.ndarray]:
@@ -83,8 +92,18 @@ def keys(data: np.ndarray) -> np.ndarray:
     return leaf << np.uint32(8) | data[DEPTH:]
 
 
-def pieces(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of about CHUNK bytes of all texts with their end symbol: (data with DEPTH
+def deep_keys(data: np.ndarray) -> np.ndarray:
+    """The DEEP bytes before, the nearest highest, then the byte itself, for each byte after
+    the first DEEP of ``data``."""
+    n = len(data) - DEEP
+    out = data[DEEP:].astype(np.int64)
+    for d in range(DEEP):
+        out |= data[DEEP - 1 - d : DEEP - 1 - d + n].astype(np.int64) << (8 * (DEEP - d))
+    return out
+
+
+def pieces(texts: Iterable[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of about CHUNK bytes of all texts with their end symbol: (data with depth
     bytes of context before each piece, starts of the pieces in it, text number of each)."""
     parts: list[bytes] = []
     starts: list[int] = []
@@ -93,11 +112,11 @@ def pieces(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     for k, text in enumerate(texts):
         full = text + b"\xff"
         for a in range(0, len(full), CHUNK):
-            before = full[a - DEPTH : a] if a else b"\n" * DEPTH
+            before = full[max(0, a - depth) : a].rjust(depth, b"\n")
             starts.append(size)
             owner.append(k)
             parts += [before, full[a : a + CHUNK]]
-            size += DEPTH + len(parts[-1])
+            size += depth + len(parts[-1])
             if size >= CHUNK:
                 yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(owner)
                 parts, starts, owner, size = [], [], [], 0
@@ -105,15 +124,15 @@ def pieces(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(owner)
 
 
-def _context_mask(n: int, starts: np.ndarray) -> np.ndarray:
+def _context_mask(n: int, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Which of the n bytes are text and not the context before a piece."""
     mask = np.ones(n, bool)
-    for d in range(DEPTH):
+    for d in range(depth):
         mask[starts + d] = False
-    return mask[DEPTH:]
+    return mask[depth:]
 
 
-def count(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def count(texts: Iterable[bytes], of: Callable[[np.ndarray], np.ndarray] = keys, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Keys and how often they occur in the texts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -125,8 +144,8 @@ def count(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         return k[first], np.add.reduceat(n, first)
 
-    for data, starts, _ in pieces(texts):
-        every = np.sort(keys(data)[_context_mask(len(data), starts)])
+    for data, starts, _ in pieces(texts, depth):
+        every = np.sort(of(data)[_context_mask(len(data), starts, depth)])
         first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
         held.append((every[first], np.diff(np.append(first, len(every)))))
         size += len(first)
@@ -159,6 +178,171 @@ def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - np.log(np.pi)
 
 
+SMALL = np.arange(1 << 16, dtype=float)
+LOG_HALVES, LOG_WHOLES = _lgamma(SMALL + 0.5), _lgamma(SMALL + 1)
+
+
+def _log_gamma_of(counts: np.ndarray, table: np.ndarray, plus: float) -> np.ndarray:
+    out = table[np.minimum(counts, len(table) - 1).astype(np.int64)]
+    large = counts >= len(table)
+    if large.any():
+        out[large] = _lgamma(counts[large] + plus)
+    return out
+
+
+def _node(zeros: np.ndarray, ones: np.ndarray, kids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """KT probability of a one, log weighted probability, posterior weight of the own estimate."""
+    est = _log_gamma_of(zeros, LOG_HALVES, 0.5) + _log_gamma_of(ones, LOG_HALVES, 0.5) - _log_gamma_of(zeros + ones, LOG_WHOLES, 1) - np.log(np.pi)
+    kt = (ones + 0.5) / (zeros + ones + 1)
+    if kids is None:
+        return kt, est, np.ones_like(est)
+    return kt, np.logaddexp(est, kids) - np.log(2), 1 / (1 + np.exp(np.clip(kids - est, -700, 700)))
+
+
+def _up(names: np.ndarray) -> np.ndarray:
+    """Nodes (context * 256 + decision) without the farthest byte of context."""
+    return names >> 16 << 8 | names & 255
+
+
+def _at(key: np.ndarray, depth: int, j: int) -> np.ndarray:
+    """The node of depth ``depth`` that decides on bit j of each key's byte."""
+    return key >> (8 * (DEEP + 1 - depth)) << 8 | 1 << j | (key & 255) >> (8 - j)
+
+
+def _find(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted in the ascending names, and which are there."""
+    if not len(names):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return at, names[at] == wanted
+
+
+def subtrees(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """From ascending keys with all that share their TOP + 1 nearest bytes, and training
+    counts: the inner probability of a one at each key's eight decisions (NaN where depth
+    TOP + 1 has no node), and (names, zeros, ones, kids) of what the depth-TOP nodes gain."""
+    k, c = key[n > 0], n[n > 0].astype(float)
+    bits = np.concatenate([k >> (7 - j) & 1 for j in range(8)])
+    names, at = np.unique(np.concatenate([_at(k, DEEP, j) for j in range(8)]), return_inverse=True)
+    ones = np.bincount(at, np.tile(c, 8) * bits, len(names))
+    zeros = np.bincount(at, np.tile(c, 8), len(names)) - ones
+    used, kids, levels = at, None, []
+    for _ in range(DEEP, TOP, -1):
+        kt, lw, own = _node(zeros, ones, kids)
+        up, at = np.unique(_up(names), return_inverse=True)
+        levels.append((names, kt, own, at))
+        names, zeros, ones, kids = up, np.bincount(at, zeros, len(up)), np.bincount(at, ones, len(up)), np.bincount(at, lw, len(up))
+    top, mix, weight, inner = (names, zeros, ones, kids), np.zeros(len(names)), np.ones(len(names)), []
+    for names, kt, own, at in reversed(levels):
+        mix, weight = mix[at] + weight[at] * own * kt, weight[at] * (1 - own)
+        inner.append((names, mix + weight * 0.5))  # at depth DEEP the weight is 0
+    out = np.full((len(key), 8), np.nan)
+    out[n > 0] = inner[-1][1][used].reshape(8, -1).T
+    other = np.flatnonzero(n == 0)
+    for j in range(8):
+        todo = other
+        for d in range(DEEP, TOP, -1):
+            where, hit = _find(inner[d - TOP - 1][0], _at(key[todo], d, j))
+            out[todo[hit], j] = inner[d - TOP - 1][1][where[hit]]
+            todo = todo[~hit]
+    return out, top
+
+
+class Upper:
+    """The tree's nodes of depth TOP and less."""
+
+    def __init__(self, names: np.ndarray, zeros: np.ndarray, ones: np.ndarray, kids: np.ndarray):
+        """From the depth-TOP nodes, ascending, with the sums of what ``subtrees`` gave."""
+        levels = []
+        for d in range(TOP, -1, -1):
+            kt, lw, own = _node(zeros, ones, kids)
+            up, at = np.unique(_up(names), return_inverse=True) if d else (names[:0], None)
+            levels.append((names, kt, own, at))
+            if d:
+                names, zeros, ones, kids = up, np.bincount(at, zeros, len(up)), np.bincount(at, ones, len(up)), np.bincount(at, lw, len(up))
+        self.levels = []  # (names, mix, weight) from depth 0
+        for names, kt, own, at in reversed(levels):
+            mix, weight = (self.levels[-1][1][at], self.levels[-1][2][at]) if self.levels else (np.zeros(len(names)), np.ones(len(names)))
+            self.levels.append((names, mix + weight * own * kt, weight * (1 - own)))
+
+    def logs(self, key: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """log10 probability of each key's byte in its context."""
+        out = np.zeros(len(key))
+        for j in range(8):
+            one = np.full(len(key), 0.5)
+            for d, (names, mix, weight) in enumerate(self.levels):
+                at, hit = _find(names, _at(key, d, j))
+                some = inner[hit, j] if d == TOP else 0.5
+                one[hit] = mix[at[hit]] + weight[at[hit]] * np.where(np.isnan(some), 0.5, some)
+            out += np.log10(np.where(key >> (7 - j) & 1, one, 1 - one))
+        return out
+
+
+def key_logs(counts: DataFrame) -> DataFrame:
+    """(k, c, lp): each key of ``counts`` (k, n, m), its occurrences and log10 probability."""
+    sc = counts.sparkSession.sparkContext
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def done(k: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            inner, (names, zeros, ones, kids) = subtrees(k, n)
+            none = pa.nulls(len(names), pa.list_(pa.float64()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * 8), pa.array(inner.reshape(-1)))
+            gaps = [pa.nulls(len(k), pa.float64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n + m), lists, *gaps], ["k", "c", "inner", "z", "o", "kids"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(len(names), pa.int64()), none, pa.array(zeros), pa.array(ones), pa.array(kids)], ["k", "c", "inner", "z", "o", "kids"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(x).to_numpy() for x in range(3)))
+            if sum(len(h[0]) for h in held) >= FLUSH:
+                k, n, m = (np.concatenate(x) for x in zip(*held))
+                top = k >> (8 * (DEEP - TOP))
+                cut = int(np.searchsorted(top, top[-1]))  # the last subtree may go on
+                if cut:
+                    yield from done(k[:cut], n[:cut], m[:cut])
+                held = [(k[cut:], n[cut:], m[cut:])]
+        if held:
+            yield from done(*(np.concatenate(x) for x in zip(*held)))
+
+    dealt = counts.repartition(F.shiftright("k", 8 * (DEEP - TOP))).sortWithinPartitions("k").select("k", "n", "m")
+    tree = materialize(dealt.mapInArrow(grow, "k long, c long, inner array<double>, z double, o double, kids double"), "ctw_tree")
+    top = tree.filter("c is null").groupBy("k").agg(F.sum("z"), F.sum("o"), F.sum("kids")).toArrow()
+    arrays = [c.to_numpy() for c in top.columns]
+    order = np.argsort(arrays[0])
+    upper = sc.broadcast(pickle.dumps(Upper(*(x[order] for x in arrays)), protocol=5))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(upper.value)
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            inner = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.logs(k, inner))], ["k", "c", "lp"])
+
+    return materialize(tree.filter("c is not null").select("k", "c", "inner").mapInArrow(finish, "k long, c long, lp double"), "ctw_logs")
+
+
+def deep_scores(texts: list[bytes], known: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """log10 of each text's probability over the known keys (ascending), and (text, key,
+    occurrences) of all others."""
+    out, rest = np.zeros(len(texts)), []
+    for data, starts, owner in pieces(texts, DEEP):
+        mask = _context_mask(len(data), starts, DEEP)
+        text = np.repeat(owner, np.diff(np.append(starts, len(data))))[DEEP:][mask]
+        k = deep_keys(data)[mask]
+        order = np.argsort(k)
+        k, text = k[order], text[order]
+        at, hit = _find(known, k)
+        out += np.bincount(text[hit], logs[at[hit]], len(texts))
+        k, text = k[~hit], text[~hit]
+        if len(k):
+            order = np.lexsort((k, text))
+            k, text = k[order], text[order]
+            first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (text[1:] != text[:-1]))))
+            rest.append((text[first], k[first], np.diff(np.append(first, len(k)))))
+    return out, rest
+
+
 class Model:
     """log10 byte probabilities for every seen context, and which row a context uses."""
 
@@ -248,24 +432,33 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def gather(rows: DataFrame) -> DataFrame:
-    """(kind, key, n, m): kind 0 has words with their occurrences in training and in other
-    texts, kind 1 has context keys (four big-endian bytes) with those in training. ``rows``
-    has t (text) and train."""
+    """(kind, key, k, n, m): kind 0 has words (key), kind 1 contexts with a byte (k), with
+    their occurrences in training and in other texts. ``rows`` has t (text) and train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = (Counter(), Counter())  # others, training
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def emit(kind: int, key: list[bytes], n: list[int], m: list[int]) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(key), 50_000):
-                part = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(key[part]), pa.int32()), pa.array(key[part], pa.binary()), pa.array(n[part], pa.int64()), pa.array(m[part], pa.int64())], ["kind", "key", "n", "m"])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, training, others
+        names = ["kind", "key", "k", "n", "m"]
 
         def words_out() -> Iterator[pa.RecordBatch]:
             every = list(words[1].keys() | words[0].keys())
-            yield from emit(0, every, [words[1][w] for w in every], [words[0][w] for w in every])
+            for a in range(0, len(every), 50_000):
+                key = every[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(key), pa.int32()), pa.array(key, pa.binary()), pa.nulls(len(key), pa.int64()), pa.array([words[1][w] for w in key], pa.int64()), pa.array([words[0][w] for w in key], pa.int64())], names)
             words[0].clear(), words[1].clear()
 
+        def merge() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            k, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            return k, *(np.bincount(at, np.concatenate([f[x] for f in found]), len(k)).astype(np.int64) for x in (1, 2))
+
+        def keys_out() -> Iterator[pa.RecordBatch]:
+            k, n, m = found[0]
+            for a in range(0, len(k), 50_000):
+                part = slice(a, a + 50_000)
+                size = len(k[part])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.binary()), pa.array(k[part]), pa.array(n[part]), pa.array(m[part])], names)
+            found.clear()
+
         for batch in batches:
             texts, train = _texts(batch.column(0)), batch.column(1).to_pylist()
             for text, use in zip(texts, train):
@@ -273,19 +466,20 @@ def gather(rows: DataFrame) -> DataFrame:
                 words[use][END_WORD] += 1
                 if len(words[0]) + len(words[1]) > FLUSH:
                     yield from words_out()
-            found.append(count(t for t, use in zip(texts, train) if use))
-            if sum(len(k) for k, _ in found) > 4 * FLUSH:
-                k, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                found = [(k, np.bincount(at, np.concatenate([f[1] for f in found])).astype(np.int64))]
+            for side in (True, False):
+                k, n = count((t for t, use in zip(texts, train) if use == side), deep_keys, DEEP)
+                found.append((k, n, np.zeros_like(n)) if side else (k, np.zeros_like(n), n))
+            if sum(len(f[0]) for f in found) > 4 * FLUSH:
+                found[:] = [merge()]
+                if len(found[0][0]) > 3 * FLUSH:
+                    yield from keys_out()
         yield from words_out()
         if found:
-            k, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([f[1] for f in found])).astype(np.int64) if len(k) else np.zeros(0, np.int64)
-            raw = k.astype(">u4").tobytes()
-            yield from emit(1, [raw[a : a + 4] for a in range(0, len(raw), 4)], n.tolist(), [0] * len(k))
+            found[:] = [merge()]
+            yield from keys_out()
 
-    parts = rows.select("t", "train").mapInArrow(run, "kind int, key binary, n long, m long")
-    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    parts = rows.select("t", "train").mapInArrow(run, "kind int, key binary, k long, n long, m long")
+    return parts.groupBy("kind", "key", "k").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,15 +493,20 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     n_train, every, distinct = total["n"], total["n"] + total["m"], total["v"]
     least = max(1, -(-every // HEAVY))
     heavy = sc.broadcast({bytes(r["key"]): r["n"] for r in words.filter(F.col("n") + F.col("m") >= least).collect()})
-    seen = gathered.filter("kind = 1").select(F.conv(F.hex("key"), 16, 10).cast("long").alias("k"), "n").toPandas().sort_values("k")
-    model = sc.broadcast(pickle.dumps(Model(seen["k"].to_numpy(np.int64), seen["n"].to_numpy(np.int64)), protocol=5))
+    logs = key_logs(gathered.filter("kind = 1").select("k", "n", "m"))
+    often = max(1, -(-(logs.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]) // KNOWN))
+    top = logs.filter(F.col("c") >= often).select("k", "lp").toArrow()
+    top_k, top_lp = (c.to_numpy() for c in top.columns)
+    order = np.argsort(top_k)
+    model = sc.broadcast(pickle.dumps((top_k[order], top_lp[order]), protocol=5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known, at = pickle.loads(model.value), heavy.value, TaskContext.get().partitionId() << 33
-        logs = {w: float(np.log10(c + 1)) for w, c in known.items()}
+        word_logs = {w: float(np.log10(c + 1)) for w, c in known.items()}
+        names = ["row", "id", "train", "word", "ctx", "n_tokens", "n_known", "base", "score"]
         for batch in batches:
             texts = _texts(batch.column(1))
-            score = m.score(texts)
+            score, rest = deep_scores(texts, *m)
             n_tokens, n_known, base = [], [], []
             rare_row: list[int] = []
             rare_word: list[bytes] = []
@@ -317,7 +516,7 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 tokens.append(END_WORD)
                 sums, hits, others = 0.0, 0, Counter()
                 for w, c in Counter(tokens).items():
-                    log = logs.get(w)
+                    log = word_logs.get(w)
                     if log is None:
                         others[w] = c
                     else:
@@ -328,26 +527,36 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             at += len(texts)
             n, r = len(texts), len(rare_row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(at - n, at), pa.int64()), batch.column(0), batch.column(2), pa.nulls(n, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score)],
-                ["row", "id", "train", "word", "n_tokens", "n_known", "base", "score"],
+                [pa.array(range(at - n, at), pa.int64()), batch.column(0), batch.column(2), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score)],
+                names,
             )
+            for own, key, c in rest:
+                for a in range(0, len(key), 100_000):
+                    part = slice(a, a + 100_000)
+                    size = len(key[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[part] + (at - n)), pa.nulls(size, batch.column(0).type), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.binary()), pa.array(key[part]), pa.array(c[part]), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64()), pa.nulls(size, pa.float64())],
+                        names,
+                    )
             for a in range(0, r, 100_000):
                 part = slice(a, a + 100_000)
                 size = len(rare_row[part])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rare_row[part], pa.int64()), pa.nulls(size, batch.column(0).type), pa.nulls(size, pa.bool_()), pa.array(rare_word[part], pa.binary()), pa.array(rare_n[part], pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64()), pa.nulls(size, pa.float64())],
-                    ["row", "id", "train", "word", "n_tokens", "n_known", "base", "score"],
+                    [pa.array(rare_row[part], pa.int64()), pa.nulls(size, batch.column(0).type), pa.nulls(size, pa.bool_()), pa.array(rare_word[part], pa.binary()), pa.nulls(size, pa.int64()), pa.array(rare_n[part], pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64()), pa.nulls(size, pa.float64())],
+                    names,
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    made = materialize(rows.select("id", "t", "train").mapInArrow(run, f"row long, id {kind}, train boolean, word binary, n_tokens long, n_known long, base double, score double"), "ctw_scored")
+    made = materialize(rows.select("id", "t", "train").mapInArrow(run, f"row long, id {kind}, train boolean, word binary, ctx long, n_tokens long, n_known long, base double, score double"), "ctw_scored")
     rare = made.filter("word is not null").select("row", F.col("word").alias("key"), F.col("n_tokens").alias("c"))
     counts = words.filter(F.col("n") + F.col("m") < least).select("key", "n")
     met = rare.join(counts, "key", "left").groupBy("row").agg(
         F.sum(F.col("c") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more_base"),
         F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("more_known"),
     )
-    whole = made.filter("word is null").join(met, "row", "left")
+    deep = made.filter("ctx is not null").select("row", F.col("ctx").alias("k"), F.col("n_tokens").alias("times"))
+    deep = deep.join(logs.filter(F.col("c") < often).select("k", "lp"), "k").groupBy("row").agg(F.sum(F.col("times") * F.col("lp")).alias("more_score"))
+    whole = made.filter("word is null and ctx is null").join(met, "row", "left").join(deep, "row", "left")
     return whole.select(
         "id",
         "train",
@@ -355,5 +564,5 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n_train + distinct + 1)))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -1,0 +1,63 @@
+"""Exact contexts in a distributed table against a naive tree."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_ctw import Naive
+
+from terrakin.llm import ctw
+
+TRAIN = [b"the cat sat on the mat", b"the hat", b"", "d\u00e9j\u00e0 vu THE CAT".encode(), b"the cat sat on the mat"]
+OTHER = [b"the cat sat", b"zebra!", "d\u00e9j\u00e0".encode(), b"9 HATS"]
+
+
+class Deep(Naive):
+    def weighted(self, u, path):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(ctw, "DEPTH", ctw.DEEP)
+            return super().weighted(u, path)
+
+    def add(self, u, path, bit, times=1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(ctw, "DEPTH", ctw.DEEP)
+            super().add(u, path, bit, times)
+
+
+def walk(text):
+    full = b"\n" * ctw.DEEP + text + b"\xff"
+    for k in range(ctw.DEEP, len(full)):
+        u = 1
+        for s in range(7, -1, -1):
+            bit = full[k] >> s & 1
+            yield u, tuple(full[k - 1 - d] for d in range(ctw.DEEP)), bit
+            u = 2 * u + bit
+
+
+@pytest.mark.parametrize("known", [2_000_000, 20])
+def test_scores_mix_exact_contexts_of_all_depths(spark, monkeypatch, known):
+    monkeypatch.setattr(ctw, "KNOWN", known)
+    naive = Deep()
+    for t in TRAIN:
+        for step in walk(t):
+            naive.add(*step)
+    texts = TRAIN + OTHER
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["score"] for r in ctw.scores(df, F.col("doc_id") < len(TRAIN)).collect()}
+    for k, t in enumerate(texts):
+        assert abs(got[k] - sum(naive.bit(*step) for step in walk(t))) < 1e-6
+
+
+def test_contexts_that_the_classes_mix_up_are_told_apart(spark):
+    """Upper-case consonants share a class in the bounded form."""
+    df = spark.createDataFrame([(k, "xB1 " * 200 + "xC2 " * 200) for k in range(3)] + [(9, "xB1 " * 50), (10, "xB2 " * 50)], "doc_id long, text string")
+    got = {r["id"]: r["score"] for r in ctw.scores(df, F.col("doc_id") < 3).collect()}
+    assert got[9] > got[10] + 50
+
+
+def test_long_texts_are_cut_without_effect(monkeypatch):
+    texts = [b"abcdefgh" * 9, b"", b"xyz" * 5]
+    whole = ctw.count(texts, ctw.deep_keys, ctw.DEEP)
+    monkeypatch.setattr(ctw, "CHUNK", 4)
+    assert all((a == b).all() for a, b in zip(whole, ctw.count(texts, ctw.deep_keys, ctw.DEEP)))
+    none = np.zeros(0, np.int64)
+    assert sum(r[2].sum() for r in ctw.deep_scores(texts, none, np.zeros(0))[1]) == sum(map(len, texts)) + 3
