@@ -96,8 +96,17 @@ def formatted(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """The digest columns of ``formatted`` chats, from the recovered turns."""
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    """The digest columns of ``formatted`` chats: turns as recovered, and the learned text as
+    ``loss_mask`` cuts it out of ``formatted``."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("runs"))
+
+    def cut(done: Column, run: Column) -> Column:
+        at = done["at"] + run["skip"]
+        own = F.substr(F.col("formatted"), at, run["learn"])
+        return F.struct((at + run["learn"]).alias("at"), F.when(run["learn"] > 0, F.array_append(done["runs"], own)).otherwise(done["runs"]).alias("runs"))
+
+    runs = F.aggregate("loss_mask", start, cut, lambda done: done["runs"])
+    loss = F.array_join(F.transform(runs, lambda r: F.when(F.col("escaped"), unescape(r)).otherwise(r)), "")
     spelled = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
         "conv_id",

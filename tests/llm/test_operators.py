@@ -168,6 +168,17 @@ def test_ogg_round_trip_and_damage(spark, odd, empty):
             ogg.unpack(bad)
 
 
+def test_chat_loss_is_cut_by_the_mask(spark):
+    rows = [(1, 0, "user", "hi \u00e9"), (1, 1, "assistant", "d\u00e9j\u00e0 <|im_end|> vu"), (1, 2, "assistant", "more"), (2, 0, "assistant", "plain"), (2, 1, "assistant", "")]
+    chats = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in chat.digests(chats).collect()}
+    for k, text in ((1, "d\u00e9j\u00e0 <|im_end|> vumore"), (2, "plain")):
+        assert (got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+    moved = F.transform("loss_mask", lambda m: F.struct((m["skip"] + 1).alias("skip"), m["learn"].alias("learn")))
+    for r in chat.digests(chats.withColumn("loss_mask", moved)).collect():
+        assert r["loss_sha256"] != got[r["conv_id"]]["loss_sha256"]
+
+
 def brute_print(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(simhash.LOWER))
     if not words:
