@@ -7,8 +7,8 @@ stream (header ``TKMETA``, then one packet with the unpadded size and the payloa
 
 Reading: every page's checksum is verified and its sequence number checked, packets are
 reassembled from the lacing values over page borders, pages are dealt to their logical
-streams by serial number, and timestamps come from the granule positions and the rate in
-the header packet. Anything else raises ``OggError``.
+streams by serial number, and timestamps of all sample pages come from the granule positions,
+which must be the samples so far, and the rate in the header packet. Anything else raises ``OggError``.
 
 Defined results: null and empty texts give ``ALIGN`` zero bytes; equal texts give equal
 files (serial numbers come from the payload); repeated rows stay repeated; a null id keeps
@@ -117,6 +117,7 @@ def demultiplex(data: bytes) -> dict[int, Stream]:
         s = streams.get(serial)
         if s is None or s.ended or seq != s.pages or bool(flags & CONTINUED) != bool(s.open):
             raise OggError("page out of order")
+        whole = len(s.packets)
         for size in lacing:
             s.open.append(data[body : body + size])
             body += size
@@ -124,6 +125,8 @@ def demultiplex(data: bytes) -> dict[int, Stream]:
                 s.packets.append(b"".join(s.open))
                 s.open = []
         s.pages += 1
+        if (granule >= 0) != (len(s.packets) > whole):
+            raise OggError("granule position of a page without a packet's end, or none with one")
         if granule >= 0:
             s.marks.append((granule, len(s.packets)))
         s.ended = bool(flags & EOS)
@@ -144,6 +147,9 @@ def unpack(data: bytes) -> tuple[bytes, int, float, str]:
     payload = b"".join(pcm.packets[1:])
     n_bytes, crc = struct.unpack("<QI", meta.packets[1])
     last = pcm.marks[-1][0]
+    samples = np.cumsum([0] + [len(p) for p in pcm.packets[1:]])
+    if any(g != samples[k - 1] for g, k in pcm.marks):
+        raise OggError("a granule position is not the samples so far")
     if last != len(payload) or zlib.crc32(payload) != crc:
         raise OggError("samples are missing")
     wave = np.frombuffer(payload, np.uint8)
@@ -154,7 +160,7 @@ def unpack(data: bytes) -> tuple[bytes, int, float, str]:
         "pages": sum(s.pages for s in streams.values()),
         "packets": sum(len(s.packets) for s in streams.values()),
         "ms": last * 1000 // rate,
-        "page_ms": [g * 1000 // rate for g, _ in pcm.marks[1:3]],
+        "page_ms": [g * 1000 // rate for g, _ in pcm.marks[1:]],
         "sum": int(wave.sum(dtype=np.int64)),
         "energy": int((centred.astype(np.int64) ** 2).sum()),
         "crossings": crossings,

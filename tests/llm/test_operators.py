@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips, SQL and held-out labels."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -168,6 +169,26 @@ def test_ogg_round_trip_and_damage(spark, odd, empty):
             ogg.unpack(bad)
 
 
+def test_ogg_checks_and_times_every_page():
+    payload = bytes(k * 7 % 256 for k in range(300_032))
+    media = ogg.pack(payload, 300_000)
+    pages, at = [], 0  # of the sample stream: (start, end, granule)
+    while at < len(media):
+        n = media[at + 26]
+        end = at + 27 + n + sum(media[at + 27 : at + 27 + n])
+        if struct.unpack_from("<I", media, at + 14)[0] == zlib.crc32(payload):
+            pages.append((at, end, struct.unpack_from("<q", media, at + 6)[0]))
+        at = end
+    feature = json.loads(ogg.unpack(media)[3])
+    assert len(pages) > 4 and feature["page_ms"] == [g * 1000 // ogg.RATE for _, _, g in pages[1:]]
+    for a, b, granule in pages[1:]:
+        for wrong in (granule - 1, granule + ogg.PACKET, -1):
+            page = media[a : a + 6] + struct.pack("<q", wrong) + media[a + 14 : a + 22] + bytes(4) + media[a + 26 : b]
+            page = page[:22] + struct.pack("<I", ogg.checksum(page)) + page[26:]
+            with pytest.raises(ogg.OggError):
+                ogg.unpack(media[:a] + page + media[b:])
+
+
 def test_chat_loss_is_cut_by_the_mask(spark):
     rows = [(1, 0, "user", "hi \u00e9"), (1, 1, "assistant", "d\u00e9j\u00e0 <|im_end|> vu"), (1, 2, "assistant", "more"), (2, 0, "assistant", "plain"), (2, 1, "assistant", "")]
     chats = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
