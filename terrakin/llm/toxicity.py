@@ -13,8 +13,8 @@ on how far the windows' savings stand out: the mean of exp(savings / 2), the lar
 the sum of what is above ``QUIET`` bytes.
 
 Labels come from a bounded sample: at most ``per_class`` labelled documents of each class,
-the smallest by a hash of their id, and of each the first ``SAMPLE_BYTES`` characters (this
-bounds the fit alone; scoring reads whole texts). Each class weighs in the calibration as
+the smallest by a hash of their id, and of each the whole text. The toxic dictionary holds
+every passage found in more than one of them. Each class weighs in the calibration as
 much as it has labelled documents.
 
 Defined results: null and empty texts have no window and the score of a document without
@@ -41,7 +41,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORDS, WIDEST = 8, 1024
 GRAMS, Z, LIFT = (5, 8), 7.0, 4.0
 QUIET = 3
-TOXIC_BYTES, PLAIN_BYTES, SAMPLE_BYTES = 4_096, 8_192, 16_384
+PLAIN_BYTES = 8_192
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -136,23 +136,24 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
     sides = {k: [t for t, y in zip(texts, labels) if y == k] for k in (0, 1)}
     if min(len(sides[0]), len(sides[1])) < 8:
         return flat
-    cut = {k: [b" " + b" ".join(windows(t[:SAMPLE_BYTES])) + b" " for t in v[::2]] for k, v in sides.items()}
+    cut = {k: [b" " + b" ".join(windows(t)) + b" " for t in v[::2]] for k, v in sides.items()}
     grams = telling(cut[1], cut[0])
     found = Counter(p for b in cut[1] for p in passages(b, grams))
     if not found:
         return flat
     kept = [p for p, c in sorted(found.items(), key=lambda x: (-x[1], x[0])) if c > 1] or sorted(found)
-    toxic = b"".join(reversed(kept))[-TOXIC_BYTES:]
+    toxic = b"".join(reversed(kept))
     # Ordinary passages from all over the sample: a slice of each document in turn.
     n, step = len(cut[0]), 96
     plain = b"".join(b[len(b) // 3 : len(b) // 3 + step] for b in cut[0])
-    while len(plain) < PLAIN_BYTES + TOXIC_BYTES and step < SAMPLE_BYTES:
+    longest = max(map(len, cut[0]))
+    while len(plain) < PLAIN_BYTES + len(toxic) and step < longest:
         step *= 2
         plain = b"".join(b[len(b) // 3 : len(b) // 3 + step] for b in cut[0])
     base, fill = plain[:PLAIN_BYTES], plain[PLAIN_BYTES : PLAIN_BYTES + len(toxic)]
     model = Model(toxic + base, fill + base)
     held = [(t, k) for k in (0, 1) for t in sides[k][1::2]]
-    x = np.array([(1.0, *model.features(t[:SAMPLE_BYTES])) for t, _ in held])
+    x = np.array([(1.0, *model.features(t)) for t, _ in held])
     y = np.array([float(k) for _, k in held])
     model.curve = _logistic(x, y, np.where(y == 1, weights[1], weights[0]))
     return model
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, id_col: str
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").distinct()
     counts = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [named.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_BYTES).alias("t"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     rows = texts.join(F.broadcast(picked[0].unionAll(picked[1])), "id").orderBy("id", "y", "t").collect()
     return train([r["t"] or "" for r in rows], [r["y"] for r in rows], tuple(counts.get(y, 0) / min(max(counts.get(y, 0), 1), per_class) for y in (0, 1)))
 

@@ -67,6 +67,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_toxicity_learns_whole_texts_and_every_passage(spark):
+    rng = random.Random(3)
+    calm = [f"calm{k} river{k % 7}" for k in range(400)]
+    insults = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(6)) for _ in range(120)]
+    body = lambda: " ".join(rng.choices(calm, k=1_800))  # noqa: E731 - about 25,000 characters
+    rows = [(k, f"{body()} {' '.join(insults[(k * 31 + j) % 120] for j in range(30))}", 1) for k in range(200)] + [(1_000 + k, body(), 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.drop("text"))
+    assert all(x.encode() in model.toxic for x in insults) and len(model.toxic) > 4_096
+    assert model.score(" ".join(calm[:50]) + " " + " ".join(insults[:30])) > 0.5 > model.score(" ".join(calm[:50]))
+
+
 def test_toxicity_edges(spark, odd, empty):
     model = toxicity.train(["you foul swamp rat, be gone " * 3] * 80 + ["the quiet river runs to the sea " * 3] * 80, [1] * 80 + [0] * 80)
     got = toxicity.scored(odd, model)
