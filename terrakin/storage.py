@@ -44,9 +44,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_scratch[app]}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost
-    executor costs only the tasks it ran."""
+    executor costs only the tasks it ran. ``options`` are those of the Parquet writer."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
