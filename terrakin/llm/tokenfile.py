@@ -16,9 +16,14 @@ Shards are written to the cluster's shared folder by the task that encodes them,
 a name of its own; only names that a finished task returns are in the manifest, so a lost
 executor leaves at most files that nothing refers to.
 
-Defined results: null and empty texts have only the end id; a null document id sorts first;
-rows with equal ids follow each other in the order of their texts; extra columns are
-ignored; an empty table makes no shard and an empty result.
+Shards are written through pyarrow's file systems (``s3a`` is read as ``s3``); a folder that
+only Spark can write to raises an error before any work.
+
+Defined results: null and empty texts have only the end id; very long texts are encoded whole
+and are never cut between shards; a null document id sorts first; rows with equal ids follow
+each other in the order of their texts' first 64 characters, then of a hash, then of the whole
+text; repeated rows stay repeated; extra columns are ignored; an empty table makes no shard and
+an empty result.
 """
 
 from __future__ import annotations
@@ -36,35 +41,59 @@ from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from terrakin.llm.arrays import bytes_of, slices
 from terrakin.llm.common import materialize, scratch
-from terrakin.llm.pretoken import PIECE, Cutter, byte_letters, letters_only
+from terrakin.llm.pretoken import Ids, Units, byte_letters, specials, spread
 
 MAGIC = b"TKIDS001"
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.uint8)
 CHUNK = 1 << 20  # ids coded or decoded at once; a multiple of 4
+SLICE = 8 << 20  # bytes of text cut together
 MANIFEST = "pid int, seq int, path string, n_docs long, n_tokens long"
 
 
-def pack(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """One shard of these documents' ids (little-endian unsigned 32-bit)."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    freq = np.bincount(flat) if len(flat) else np.zeros(0, np.int64)
+def _chunks(ids: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same ids in arrays of CHUNK, but for the last."""
+    held, size = [], 0
+    for one in ids:
+        while size + len(one) >= CHUNK:
+            held.append(one[: CHUNK - size])
+            one = one[CHUNK - size :]
+            yield np.concatenate(held)
+            held, size = [], 0
+        held.append(one)
+        size += len(one)
+    if size:
+        yield np.concatenate(held)
+
+
+def coded(doc_ids: list[int | None], counts: np.ndarray, ids: list[np.ndarray]) -> list[bytes]:
+    """One shard, in parts, of these documents' token counts and ids (one after the other)."""
+    n = int(counts.sum())
+    freq = np.zeros(0, np.int64)
+    for some in _chunks(ids):
+        more = np.bincount(some, minlength=len(freq))
+        more[: len(freq)] += freq
+        freq = more
     used = np.flatnonzero(freq)
     table = used[np.argsort(-freq[used], kind="stable")].astype("<u4")
     rank = np.zeros(len(freq), "<u4")
     rank[table] = np.arange(len(table), dtype="<u4")
     control, data = [], []
-    for a in range(0, len(flat), CHUNK):
-        code = rank[flat[a : a + CHUNK]]
+    for some in _chunks(ids):
+        code = rank[some]
         extra = (code > 0xFF).astype(np.uint8) + (code > 0xFFFF) + (code > 0xFFFFFF)
         data.append(code.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]].tobytes())
         quads = np.pad(extra, (0, -len(extra) % 4)).reshape(-1, 4)
         control.append((quads << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes())
-    body = b"".join(data)
-    head = struct.pack("<4Q", len(table), len(doc_ids), len(flat), len(body))
+    head = struct.pack("<4Q", len(table), len(doc_ids), n, sum(map(len, data)))
     names = np.array([x or 0 for x in doc_ids], "<i8").tobytes() + bytes(x is None for x in doc_ids)
-    counts = np.array([len(x) // 4 for x in ids], "<u8").tobytes()
-    return b"".join((MAGIC, head, table.tobytes(), names, counts, *control, body))
+    return [MAGIC, head, table.tobytes(), names, counts.astype("<u8").tobytes(), *control, *data]
+
+
+def pack(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
+    """One shard of these documents' ids (little-endian unsigned 32-bit)."""
+    return b"".join(coded(doc_ids, np.array([len(x) // 4 for x in ids], np.int64), [np.frombuffer(x, "<u4") for x in ids]))
 
 
 def unpack(shard: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -96,65 +125,92 @@ def unpack(shard: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else x for x, z in zip(names.tolist(), null.tolist())], counts.astype(np.int64), out
 
 
-@lru_cache(maxsize=2)
-def _cutter(spec: str) -> Cutter:
-    """The tokenizers library's BPE model behind the exact cutter, one for each process. The
-    model is called on pieces, which costs a third of the whole tokenizer's call."""
-    from tokenizers import Tokenizer
+class Library:
+    """The tokenizers library's BPE model behind the exact cutter. The model is called on
+    pieces, which costs a fraction of the whole tokenizer's call."""
 
-    model, letters = Tokenizer.from_str(spec).model, byte_letters()
-    space = letters[32]
-    special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in json.loads(spec).get("added_tokens") or []}
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.model, self.special = Tokenizer.from_str(spec).model, specials(json.loads(spec))
+        self.letters = "".join(map(byte_letters().__getitem__, range(256)))
+        self.units = Units(self.encode_pieces, self.special)
+
+    def encode_pieces(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, and how many each has."""
+        data, offsets = bytes_of(found)
+        text, tokenize, at = data.tobytes().decode("latin-1").translate(self.letters), self.model.tokenize, offsets.tolist()
+        flat: list[int] = []
+        ends = [len(flat)]
+        for a, b in zip(at, at[1:]):
+            flat += [t.id for t in tokenize(text[a:b])]
+            ends.append(len(flat))
+        return np.array(flat, "<u4"), np.diff(ends)
+
+    def encode_texts(self, texts: pa.Array) -> Ids:
+        return spread(texts, self.special, self.units)
+
+
+@lru_cache(maxsize=2)
+def _library(spec: str) -> Library:
+    """One for each vocabulary in a worker process."""
+    return Library(spec)
 
-    def encode(part: str) -> bytes:
-        word = part[1:] if part[0] == " " else part
-        if word.isascii() and word.isalpha():
-            got = [t.id for t in model.tokenize(space + word if word is not part else word)]
-            return struct.pack(f"<{len(got)}I", *got)
-        pieces = [part] if letters_only(word) else PIECE.findall(part)
-        ids: list[int] = []
-        for p in pieces:
-            ids += [t.id for t in model.tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
 
-    return Cutter(encode, special)
+def filesystem(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a folder or file that Spark names, and its path there."""
+    scheme, sep, rest = uri.partition("://")
+    return FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + sep + rest if sep else uri)
 
 
 def write(docs: DataFrame, vocabulary: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = 1 << 24) -> DataFrame:
     """Encode and write all documents; the manifest of shards, with ``start``, the number of
     ids before the shard. A shard is closed at the document that fills it."""
     folder = folder or scratch(docs.sparkSession, "token-ids")
+    filesystem(folder)  # raises here, before any work, where only Spark can write
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid, seq = _cutter(spec.value), TaskContext.get().partitionId(), 0
-        fs, base = FileSystem.from_uri(folder)
+        library, pid, seq = _library(spec.value), TaskContext.get().partitionId(), 0
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         names: list[int | None] = []
-        ids: list[bytes] = []
+        counts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             path = f"{pid:07d}-{seq:05d}-{uuid.uuid4().hex}.tkids"
             with fs.open_output_stream(f"{base}/{path}") as out:
-                out.write(pack(names, ids))
+                for part in coded(names, np.concatenate(counts), ids):
+                    out.write(part)
             return pa.RecordBatch.from_pylist([{"pid": pid, "seq": seq, "path": path, "n_docs": len(names), "n_tokens": size}], pa.schema([("pid", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                names.append(name)
-                ids.append(encode(text.as_py() or "") + end)
-                size += len(ids[-1]) // 4
-                if size >= shard_tokens:
-                    yield flush()
-                    names, ids, size, seq = [], [], 0, seq + 1
+            for some in slices(batch, 1, SLICE):
+                got, own = library.encode_texts(some.column(1)), some.column(0).to_pylist()
+                flat = np.insert(got.flat, got.offsets[1:], end_id)
+                ends, at = got.offsets[1:] + np.arange(1, len(own) + 1), 0
+                while at < len(own):
+                    begin = int(ends[at - 1]) if at else 0
+                    upto = min(len(own), 1 + int(np.searchsorted(ends, begin + shard_tokens - size)))
+                    names += own[at:upto]
+                    counts.append(np.diff(ends[at:upto], prepend=begin))
+                    ids.append(flat[begin : ends[upto - 1]].copy())
+                    size, at = size + len(ids[-1]), upto
+                    if size >= shard_tokens:
+                        yield flush()
+                        names, counts, ids, size, seq = [], [], [], 0, seq + 1
         if names:
             yield flush()
 
+    # Many rows may share an id (or have none): the order goes on with the text's first
+    # characters and its hash, so that such rows are many tasks' work.
+    order = ["id", "lead", "tie"]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    made = rows.repartitionByRange("id").sortWithinPartitions("id", "t").mapInArrow(run, MANIFEST)
+    rows = rows.withColumns({"lead": F.substring("t", 1, 64), "tie": F.xxhash64("t")})
+    made = rows.repartitionByRange(*order).sortWithinPartitions(*order, "t").select("id", "t").mapInArrow(run, MANIFEST)
     manifest = materialize(made, "token-manifest")
     tasks = manifest.groupBy("pid").agg(F.sum("n_tokens").alias("all")).withColumn("before", F.sum("all").over(Window.orderBy("pid")) - F.col("all"))
     within = F.sum("n_tokens").over(Window.partitionBy("pid").orderBy("seq")) - F.col("n_tokens")
@@ -170,7 +226,7 @@ def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, name = FileSystem.from_uri(path)
+                fs, name = filesystem(path)
                 with fs.open_input_stream(name) as f:
                     docs, counts, ids = unpack(f.read())
                 ends = np.cumsum(counts)
