@@ -8,102 +8,71 @@ weighted probabilities. The probability of the next decision is the quotient of
 probabilities with and without it: along the path of contexts it mixes the KT estimates of
 all depths with the posterior weights of the training data. A text's score is log10 of the
 product over all its bytes and an end symbol (byte 0xFF), with line ends before its start;
-``-score * log2(10) / bytes`` is its code length in bits per byte.
-
-Contexts are the last ``DEEP`` bytes, exact, and all shorter ones. Their counts are a table
-that grows with the corpus and is never in one place: the subtrees below a context of three
-bytes are worked off in the partition that holds it, and only the nodes of at most two bytes
-of context (2**16 contexts at most) meet on the driver. Below depth 2 the probability of a
-decision is ``mix + weight * inner``, with mix and weight of its depth-2 node and inner of
-the subtree alone, so one pass over the table is enough. Each (context, byte) of any text
-gets its log10 probability; those that make up at least ``1 / KNOWN`` of all bytes are at
-most ``KNOWN`` and are broadcast, the occurrences of all others meet theirs in a shuffle.
-
-``Model`` is the bounded form of earlier rounds (four bytes in 64, 32, 16 and 8 classes,
-2**18 contexts); no query uses it.
-
-The unigram base adds log10((c + 1) / (N + V + 1)) over words and the end. Words that make up
-at least ``1 / HEAVY`` of all tokens are at most ``HEAVY`` and are broadcast with their counts;
-the occurrences of all others meet their counts in a shuffle.
-
-Defined results: null and empty texts have no word and one end; repeated rows are learned
-from and scored each; a null id is never held out; extra columns are ignored; an empty table
-gives an empty result; without training rows all counts are 0 and every decision has
-probability one half.
+``bits_per_byte`` is the same as a code length, in bits for each of these symbols.
+
+Contexts are the last ``DEEP`` bytes, exact, and all shorter ones. What is counted is a table
+that grows with the corpus and is never in one place:
+
+1. Texts are dealt into blocks of about ``BLOCK`` bytes. A block's task counts the block's
+   distinct (context, byte) keys and words and sends them, packed, to ``SLOTS`` slots (by the
+   three nearest bytes, or by the word).
+2. A slot merges what blocks send, and grows the subtrees below three bytes of context. Only
+   the nodes of at most ``TOP`` bytes of context (2**16 contexts at most) meet on the driver,
+   after sums by node; below depth TOP a decision's probability is ``mix + weight * inner``
+   with mix and weight of its depth-TOP node and inner of the subtree alone.
+3. Slots answer every block: the log10 probability of each key it sent (a 32-bit float), the
+   count of each word. Answers and texts of a block meet, and its texts are scored.
+
+So a key moves once for each block, not for each byte, and a task holds one block or one
+slot, whatever the corpus. With more than ``FAN`` blocks, slots are merged in two steps and
+each answers in several tasks.
+
+The unigram base adds log10((c + 1) / (N + V + 1)) over words and the end.
+
+Defined results: null and empty texts have no word and one end; a very long text is worked off
+in chunks, with the same result; equal texts have equal scores up to rounding; repeated rows
+are learned from and scored each; rows where the training condition is null (such as a null id
+under a hash of it) are not learned from; extra columns are ignored; an empty table gives an
+empty result; without training rows all counts are 0 and every decision has probability one
+half.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terrakin.llm.arrays import Table, ranges, slices
 from terrakin.llm.common import materialize
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-END_WORD = b" end"  # no word holds a space
-HEAVY = 200_000
-DEPTH, BITS = 4, (6, 5, 4, 3)
-SHIFTS = (12, 7, 3, 0)  # of a leaf context, to the ancestors at depths 1 to 4
-CHUNK, FLUSH = 1 << 20, 300_000
-DEEP, TOP = 6, 2  # bytes of context, and those of the nodes on the driver
-KNOWN = 2_000_000
-
-
-def _classes() -> list[np.ndarray]:
-    """The class of each byte at distances 1 to 4."""
-    near, far = np.full(256, 29), np.full(256, 26)
-    kinds = ("a", "e", "i", "o", "uy", "nm", "td", "szc", "rl", "h", "bgvwj", "pkfqx")
-    broad = {"aeiouy": 0, "nmrl": 1, "tdszc": 2, "hbgvwjpkfqx": 3}
-    mid, wide = np.full(256, 12), np.full(256, 4)
-    for b in range(256):
-        c = chr(b | 32) if 65 <= b <= 90 or 97 <= b <= 122 else ""
-        if c:
-            near[b] = b - 97 if b >= 97 else 26 if c in "aeiou" else 27
-            far[b] = ord(c) - 97
-            mid[b] = next(k for k, s in enumerate(kinds) if c in s)
-            wide[b] = next(v for s, v in broad.items() if c in s)
-        elif 48 <= b <= 57:
-            near[b], far[b], mid[b], wide[b] = 32, 27, 13, 5
-        elif 33 <= b < 127:
-            near[b], far[b], mid[b], wide[b] = {46: 30, 44: 31}.get(b, 33 if b in b"'\"-" else 34), 28, 13, 5
-        elif 128 <= b < 192:
-            near[b], far[b], mid[b], wide[b] = 36 + b % 16, 29 + (b >> 3 & 1), 14, 6
-        elif b >= 192:
-            near[b], far[b], mid[b], wide[b] = 52 + sum(b >= x for x in (195, 196, 198, 208, 224, 240)), 31, 15, 7
-    near[32] = 28
-    return [np.uint32(x) << np.uint32(s) for x, s in zip((near, far, mid, wide), SHIFTS)]
-
-
-CLASSES = _classes()
-
-
-def keys(data: np.ndarray) -> np.ndarray:
-    """leaf context * 256 + byte for each byte after the first DEPTH of ``data``."""
-    n = len(data) - DEPTH
-    leaf = CLASSES[0][data[DEPTH - 1 : DEPTH - 1 + n]]
-    for d in range(1, DEPTH):
-        leaf |= CLASSES[d][data[DEPTH - 1 - d : DEPTH - 1 - d + n]]
-    return leaf << np.uint32(8) | data[DEPTH:]
+END_WORD = b""  # no word is empty
+DEEP, TOP = 6, 2  # bytes of context (7 at most), and those of the nodes on the driver
+CHUNK, HELD = 1 << 20, 3_000_000  # bytes of text scored at once; keys that are held before a merge
+COUNTED = 4 << 20  # bytes of text counted at once
+BLOCK, SLOTS, FAN = 32 << 20, 512, 1_024
+KEYS, WORDS, TEXT, TOPS = 0, 1, 2, 3  # kinds of rows
 
 
 def deep_keys(data: np.ndarray) -> np.ndarray:
     """The DEEP bytes before, the nearest highest, then the byte itself, for each byte after
     the first DEEP of ``data``."""
-    n = len(data) - DEEP
-    out = data[DEEP:].astype(np.int64)
-    for d in range(DEEP):
-        out |= data[DEEP - 1 - d : DEEP - 1 - d + n].astype(np.int64) << (8 * (DEEP - d))
-    return out
+    pad, eight = np.zeros(7 - DEEP, np.uint8), np.uint64(8)
+    last = np.ndarray((len(data) - DEEP,), "<u8", np.concatenate((pad, data)), strides=(1,))  # the 8 bytes up to each
+    before = last << eight >> np.uint64(8 * (8 - DEEP)) << eight
+    return (before | last >> np.uint64(56)).view(np.int64)
 
 
-def pieces(texts: Iterable[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of about CHUNK bytes of all texts with their end symbol: (data with depth
+def pieces(texts: Iterable[bytes], chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of about ``chunk`` bytes of all texts with their end symbol: (data with DEEP
     bytes of context before each piece, starts of the pieces in it, text number of each)."""
     parts: list[bytes] = []
     starts: list[int] = []
@@ -111,48 +80,69 @@ def pieces(texts: Iterable[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndar
     size = 0
     for k, text in enumerate(texts):
         full = text + b"\xff"
-        for a in range(0, len(full), CHUNK):
-            before = full[max(0, a - depth) : a].rjust(depth, b"\n")
+        for a in range(0, len(full), chunk):
+            before = full[max(0, a - DEEP) : a].rjust(DEEP, b"\n")
             starts.append(size)
             owner.append(k)
-            parts += [before, full[a : a + CHUNK]]
-            size += depth + len(parts[-1])
-            if size >= CHUNK:
+            parts += [before, full[a : a + chunk]]
+            size += DEEP + len(parts[-1])
+            if size >= chunk:
                 yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(owner)
                 parts, starts, owner, size = [], [], [], 0
     if parts:
         yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(owner)
 
 
-def _context_mask(n: int, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Which of the n bytes are text and not the context before a piece."""
-    mask = np.ones(n, bool)
-    for d in range(depth):
-        mask[starts + d] = False
-    return mask[depth:]
+def _context(n: int, starts: np.ndarray) -> np.ndarray:
+    """Which keys of n bytes are those of the context before a piece."""
+    at = (starts[1:, None] - DEEP + np.arange(DEEP)).ravel()
+    mask = np.zeros(n - DEEP, bool)
+    mask[at] = True
+    return mask
 
 
-def count(texts: Iterable[bytes], of: Callable[[np.ndarray], np.ndarray] = keys, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and how often they occur in the texts."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where new keys begin among ascending ones."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+
+
+class Counts:
+    """Distinct keys and how often they occurred, from many additions."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.limit = 0, HELD
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """Ascending keys and their counts."""
+        self.held.append((keys, n))
+        self.size += len(keys)
+        if self.size > self.limit:
+            self.limit = max(HELD, 2 * len(self.merged()[0]))
 
-    def merge() -> tuple[np.ndarray, np.ndarray]:
-        k, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        return k[first], np.add.reduceat(n, first)
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys, ascending, and their counts."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.held) > 1:
+            k, n = (np.concatenate(x) for x in zip(*self.held))
+            order = np.argsort(k, kind="stable")  # a merge of ascending runs
+            k, n = k[order], n[order]
+            first = _runs(k)
+            self.held = [(k[first], np.add.reduceat(n, first) if len(n) else n)]
+            self.size = len(first)
+        return self.held[0]
 
-    for data, starts, _ in pieces(texts, depth):
-        every = np.sort(of(data)[_context_mask(len(data), starts, depth)])
-        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        held.append((every[first], np.diff(np.append(first, len(every)))))
-        size += len(first)
-        if size > 4 * FLUSH:
-            held = [merge()]
-            size = len(held[0][0])
-    return merge() if held else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+def count(texts: Iterable[bytes], counts: Counts, train: bool) -> None:
+    """Add the texts' keys, counted only if they are training texts."""
+    for data, starts, _ in pieces(texts, COUNTED):
+        keys = deep_keys(data)
+        keys = keys[~_context(len(data), starts)]
+        keys.sort()
+        first = _runs(keys)
+        n = np.diff(np.append(first, len(keys))) if train else np.zeros(len(first), np.int64)
+        counts.add(keys[first], n)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -164,20 +154,6 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) - low
 
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the decision nodes 1 to 255 (column 0 is unused) of byte counts."""
-    full = np.zeros((len(counts), 512))
-    full[:, 256:] = counts
-    for u in range(255, 0, -1):
-        full[:, u] = full[:, 2 * u] + full[:, 2 * u + 1]
-    return full[:, 0:512:2].copy(), full[:, 1:512:2].copy()
-
-
-def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """log of the KT probability of these zeros and ones."""
-    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - np.log(np.pi)
-
-
 SMALL = np.arange(1 << 16, dtype=float)
 LOG_HALVES, LOG_WHOLES = _lgamma(SMALL + 0.5), _lgamma(SMALL + 1)
 
@@ -278,291 +254,255 @@ class Upper:
         return out
 
 
-def key_logs(counts: DataFrame) -> DataFrame:
-    """(k, c, lp): each key of ``counts`` (k, n, m), its occurrences and log10 probability."""
-    sc = counts.sparkSession.sparkContext
+def packed(values: np.ndarray) -> bytes:
+    """Values of 4 or 8 bytes, compressed by byte planes; ascending keys as differences."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
 
-        def done(k: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
-            inner, (names, zeros, ones, kids) = subtrees(k, n)
-            none = pa.nulls(len(names), pa.list_(pa.float64()))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * 8), pa.array(inner.reshape(-1)))
-            gaps = [pa.nulls(len(k), pa.float64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n + m), lists, *gaps], ["k", "c", "inner", "z", "o", "kids"])
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(len(names), pa.int64()), none, pa.array(zeros), pa.array(ones), pa.array(kids)], ["k", "c", "inner", "z", "o", "kids"])
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-        for batch in batches:
-            held.append(tuple(batch.column(x).to_numpy() for x in range(3)))
-            if sum(len(h[0]) for h in held) >= FLUSH:
-                k, n, m = (np.concatenate(x) for x in zip(*held))
-                top = k >> (8 * (DEEP - TOP))
-                cut = int(np.searchsorted(top, top[-1]))  # the last subtree may go on
-                if cut:
-                    yield from done(k[:cut], n[:cut], m[:cut])
-                held = [(k[cut:], n[cut:], m[cut:])]
-        if held:
-            yield from done(*(np.concatenate(x) for x in zip(*held)))
-
-    dealt = counts.repartition(F.shiftright("k", 8 * (DEEP - TOP))).sortWithinPartitions("k").select("k", "n", "m")
-    tree = materialize(dealt.mapInArrow(grow, "k long, c long, inner array<double>, z double, o double, kids double"), "ctw_tree")
-    top = tree.filter("c is null").groupBy("k").agg(F.sum("z"), F.sum("o"), F.sum("kids")).toArrow()
-    arrays = [c.to_numpy() for c in top.columns]
-    order = np.argsort(arrays[0])
-    upper = sc.broadcast(pickle.dumps(Upper(*(x[order] for x in arrays)), protocol=5))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(upper.value)
-        for batch in batches:
-            k = batch.column(0).to_numpy()
-            inner = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.logs(k, inner))], ["k", "c", "lp"])
-
-    return materialize(tree.filter("c is not null").select("k", "c", "inner").mapInArrow(finish, "k long, c long, lp double"), "ctw_logs")
-
-
-def deep_scores(texts: list[bytes], known: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """log10 of each text's probability over the known keys (ascending), and (text, key,
-    occurrences) of all others."""
-    out, rest = np.zeros(len(texts)), []
-    for data, starts, owner in pieces(texts, DEEP):
-        mask = _context_mask(len(data), starts, DEEP)
-        text = np.repeat(owner, np.diff(np.append(starts, len(data))))[DEEP:][mask]
-        k = deep_keys(data)[mask]
-        order = np.argsort(k)
-        k, text = k[order], text[order]
-        at, hit = _find(known, k)
-        out += np.bincount(text[hit], logs[at[hit]], len(texts))
-        k, text = k[~hit], text[~hit]
-        if len(k):
-            order = np.lexsort((k, text))
-            k, text = k[order], text[order]
-            first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (text[1:] != text[:-1]))))
-            rest.append((text[first], k[first], np.diff(np.append(first, len(k)))))
-    return out, rest
-
-
-class Model:
-    """log10 byte probabilities for every seen context, and which row a context uses."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray):
-        """From keys (ascending) and their counts. Contexts are worked off by the class of
-        the last byte, which keeps the work space at some megabytes."""
-        leaf, byte = key >> 8, key & 255
-        self.row = np.zeros(1 << sum(BITS), np.int32)
-        groups = np.unique(leaf >> SHIFTS[0])
-        tops = []
-        for g in groups:  # bottom up: the weighted probabilities of depth 1
-            some = leaf >> SHIFTS[0] == g
-            tops.append(self._subtree(leaf[some], byte[some], n[some])[-1][2])
-        total = np.zeros((1, 256))
-        np.add.at(total[0], byte, n)
-        z, o = _decisions(total)
-        est = _estimate(z, o)
-        kids = np.sum(tops, axis=0) if tops else np.zeros((1, 256))
-        root = (1 / (1 + np.exp(np.clip(kids - est, -700, 700))), (o + 0.5) / (z + o + 1))
-        table, at = [self._bytes(root[0] * root[1] + (1 - root[0]) * 0.5)], 1
-        for g in groups:  # top down: the mixtures of all depths
-            some = leaf >> SHIFTS[0] == g
-            levels = self._subtree(leaf[some], byte[some], n[some])[::-1]  # depths 1 to 4
-            weight, mix = 1 - root[0], root[0] * root[1]
-            for d, (names, kt, _, own) in enumerate(levels):
-                if d:
-                    up = np.searchsorted(levels[d - 1][0], names >> (SHIFTS[d - 1] - SHIFTS[d]))
-                    weight, mix = weight[up], mix[up]
-                last = d == DEPTH - 1
-                mix = mix + weight * own * kt
-                weight = weight * (1 - own)
-                table.append(self._bytes(mix if last else mix + weight * 0.5))
-                rows = at + np.arange(len(names), dtype=np.int32)
-                span = 1 << SHIFTS[d]
-                for name, r in zip(names.tolist(), rows.tolist()):
-                    self.row[name * span : (name + 1) * span] = r
-                at += len(names)
-        self.table = np.concatenate(table)
-
-    @staticmethod
-    def _subtree(leaf: np.ndarray, byte: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """From depth 4 up to 1: contexts, KT probability of a one, log weighted probability
-        and the posterior weight of the node's own estimate."""
-        out = []
-        names, at = np.unique(leaf, return_inverse=True)
-        counts = np.zeros((len(names), 256))
-        np.add.at(counts, (at, byte), n)
-        for d in range(DEPTH - 1, -1, -1):
-            z, o = _decisions(counts)
-            est = _estimate(z, o)
-            if d == DEPTH - 1:
-                weighted, own = est, np.ones_like(est)
-            else:
-                weighted = np.logaddexp(est, kids) - np.log(2)  # noqa: F821
-                own = 1 / (1 + np.exp(np.clip(kids - est, -700, 700)))  # noqa: F821
-            out.append((names, (o + 0.5) / (z + o + 1), weighted, own))
-            if d:
-                up, at = np.unique(names >> (SHIFTS[d - 1] - SHIFTS[d]), return_inverse=True)
-                kids, more = np.zeros((len(up), 256)), np.zeros((len(up), 256))
-                np.add.at(kids, at, weighted)
-                np.add.at(more, at, counts)
-                names, counts = up, more
-        return out
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=0))
 
-    @staticmethod
-    def _bytes(one: np.ndarray) -> np.ndarray:
-        """log10 of the 256 bytes' probabilities, from those of a one at each decision."""
-        lp = np.zeros((len(one), 512))
-        for u in range(1, 256):
-            lp[:, 2 * u] = lp[:, u] + np.log10(1 - one[:, u])
-            lp[:, 2 * u + 1] = lp[:, u] + np.log10(one[:, u])
-        return lp[:, 256:].astype(np.float32)
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of each text's probability."""
-        out, flat = np.zeros(len(texts)), self.table.reshape(-1)
-        for data, starts, owner in pieces(texts):
-            k = keys(data)
-            lp = flat[self.row[k >> np.uint32(8)].astype(np.int64) * 256 + (k & np.uint32(255))].astype(np.float64)
-            lp[~_context_mask(len(data), starts)] = 0
-            np.add.at(out, owner, np.add.reduceat(lp, starts))
-        return out
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<i8"))
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
+
+
+def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A batch of these columns; the others are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _texts(column: pa.Array) -> list[bytes]:
+def _bytes(column: pa.Array) -> list[bytes]:
     return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
 
-def gather(rows: DataFrame) -> DataFrame:
-    """(kind, key, k, n, m): kind 0 has words (key), kind 1 contexts with a byte (k), with
-    their occurrences in training and in other texts. ``rows`` has t (text) and train."""
+SENT = "kind int, block long, slot int, keys binary, n binary"
+
+
+def _arrow(fields: str, **more: pa.DataType) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.schema([(name, more.get(name) or kinds[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(kind, block, slot, keys, n, id, t, train): every text in its block, and what the
+    blocks send. ``rows`` has id, t (text) and train."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = (Counter(), Counter())  # others, training
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, training, others
-        names = ["kind", "key", "k", "n", "m"]
-
-        def words_out() -> Iterator[pa.RecordBatch]:
-            every = list(words[1].keys() | words[0].keys())
-            for a in range(0, len(every), 50_000):
-                key = every[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(key), pa.int32()), pa.array(key, pa.binary()), pa.nulls(len(key), pa.int64()), pa.array([words[1][w] for w in key], pa.int64()), pa.array([words[0][w] for w in key], pa.int64())], names)
-            words[0].clear(), words[1].clear()
-
-        def merge() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            k, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-            return k, *(np.bincount(at, np.concatenate([f[x] for f in found]), len(k)).astype(np.int64) for x in (1, 2))
-
-        def keys_out() -> Iterator[pa.RecordBatch]:
-            k, n, m = found[0]
-            for a in range(0, len(k), 50_000):
-                part = slice(a, a + 50_000)
-                size = len(k[part])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.binary()), pa.array(k[part]), pa.array(n[part]), pa.array(m[part])], names)
-            found.clear()
+        schema, at = None, TaskContext.get().partitionId() << 32
+        keys, words, size = Counts(), Counter(), 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            k, n = keys.merged()
+            three = k >> 8 * (DEEP - 2)
+            first = _runs(three)
+            slot = slots_of(three[first])
+            order = np.argsort(slot, kind="stable")
+            sizes = np.diff(np.append(first, len(k)))[order]
+            at_key = ranges(first[order], sizes)
+            k, n = k[at_key], n[at_key]
+            ends, of = np.cumsum(sizes), slot[order]
+            begin = _runs(of)
+            cuts = np.append(np.concatenate(([0], ends))[begin], len(k))
+            for x, a, b in zip(of[begin].tolist(), cuts, cuts[1:]):
+                yield _rows(schema, kind=[KEYS], block=[at], slot=[x], keys=[packed_keys(k[a:b])], n=[packed(n[a:b])])
+            dealt: dict[int, list[bytes]] = {}
+            for w in words:
+                dealt.setdefault(zlib.crc32(w) % SLOTS, []).append(w)
+            for x, some in dealt.items():
+                yield _rows(schema, kind=[WORDS], block=[at], slot=[x], keys=[packed_words(some)], n=[packed(np.array([words[w] for w in some], np.int64))])
 
         for batch in batches:
-            texts, train = _texts(batch.column(0)), batch.column(1).to_pylist()
-            for text, use in zip(texts, train):
-                words[use].update(text.translate(LOWER).split())
-                words[use][END_WORD] += 1
-                if len(words[0]) + len(words[1]) > FLUSH:
-                    yield from words_out()
-            for side in (True, False):
-                k, n = count((t for t, use in zip(texts, train) if use == side), deep_keys, DEEP)
-                found.append((k, n, np.zeros_like(n)) if side else (k, np.zeros_like(n), n))
-            if sum(len(f[0]) for f in found) > 4 * FLUSH:
-                found[:] = [merge()]
-                if len(found[0][0]) > 3 * FLUSH:
-                    yield from keys_out()
-        yield from words_out()
-        if found:
-            found[:] = [merge()]
-            yield from keys_out()
-
-    parts = rows.select("t", "train").mapInArrow(run, "kind int, key binary, k long, n long, m long")
-    return parts.groupBy("kind", "key", "k").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+            schema = schema or _arrow(f"{SENT}, id {kind}, t string, train boolean", id=batch.schema.field(0).type)
+            for part in slices(batch, 1, COUNTED):
+                texts, train = _bytes(part.column(1)), part.column(2).to_pylist()
+                yield _rows(schema, kind=[TEXT] * len(texts), block=[at] * len(texts), id=part.column(0), t=part.column(1), train=part.column(2))
+                for side in (True, False):
+                    count((t for t, use in zip(texts, train) if use == side), keys, side)
+                for t, use in zip(texts, train):
+                    own = t.translate(LOWER).split()
+                    own.append(END_WORD)
+                    words.update(own if use else dict.fromkeys(own, 0))
+                size += sum(map(len, texts))
+                if size >= BLOCK:
+                    yield from sent()
+                    at, keys, words, size = at + 1, Counts(), Counter(), 0
+        if words:
+            yield from sent()
 
+    return rows.select("id", "t", "train").mapInArrow(run, f"{SENT}, id {kind}, t string, train boolean")
 
-def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score): one row per input row.
-    ``train`` is a condition on ``docs``."""
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
-    gathered = materialize(gather(rows), "ctw_counts")
-    words = gathered.filter("kind = 0").select("key", "n", "m")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-    n_train, every, distinct = total["n"], total["n"] + total["m"], total["v"]
-    least = max(1, -(-every // HEAVY))
-    heavy = sc.broadcast({bytes(r["key"]): r["n"] for r in words.filter(F.col("n") + F.col("m") >= least).collect()})
-    logs = key_logs(gathered.filter("kind = 1").select("k", "n", "m"))
-    often = max(1, -(-(logs.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]) // KNOWN))
-    top = logs.filter(F.col("c") >= often).select("k", "lp").toArrow()
-    top_k, top_lp = (c.to_numpy() for c in top.columns)
-    order = np.argsort(top_k)
-    model = sc.broadcast(pickle.dumps((top_k[order], top_lp[order]), protocol=5))
+
+def slots_of(names: np.ndarray) -> np.ndarray:
+    """The slot of each three-byte context."""
+    return (names.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).view(np.int64) % SLOTS
+
+
+GROWN = "kind int, slot int, keys binary, n binary, k long, z double, o double, kids double"
+
+
+def grown(sent: DataFrame, last: bool) -> DataFrame:
+    """(kind, slot, keys, n, k, z, o, kids): what the rows of each (kind, slot, share) of
+    ``sent`` add up to. In the ``last`` step contexts also give what their subtrees add to
+    the depth-TOP nodes (kind TOPS), words their number in training and the distinct of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known, at = pickle.loads(model.value), heavy.value, TaskContext.get().partitionId() << 33
-        word_logs = {w: float(np.log10(c + 1)) for w, c in known.items()}
-        names = ["row", "id", "train", "word", "ctx", "n_tokens", "n_known", "base", "score"]
+        schema = _arrow(GROWN)
+        now, keys, words = None, Counts(), Counter()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            kind, slot = now[:2]
+            if kind == WORDS:
+                n = np.fromiter(words.values(), np.int64, len(words))
+                yield _rows(schema, kind=[kind], slot=[slot], keys=[packed_words(list(words))], n=[packed(n)], z=[float(n.sum())], o=[float(np.count_nonzero(n))])
+                return
+            k, n = keys.merged()
+            yield _rows(schema, kind=[kind], slot=[slot], keys=[packed_keys(k)], n=[packed(n)])
+            if last:
+                for a, b in _spans(k):
+                    names, zeros, ones, kids = subtrees(k[a:b], n[a:b])[1]
+                    yield _rows(schema, kind=np.full(len(names), TOPS, np.int32), k=names, z=zeros, o=ones, kids=kids)
+
+        for batch in batches:
+            for kind, slot, share, data, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if (kind, slot, share) != now:
+                    if now is not None:
+                        yield from done()
+                    now, keys, words = (kind, slot, share), Counts(), Counter()
+                if kind == WORDS:
+                    words.update(dict(zip(unpacked_words(data), unpacked(n, "<i8").tolist())))
+                else:
+                    keys.add(unpacked_keys(data), unpacked(n, "<i8"))
+        if now is not None:
+            yield from done()
+
+    by = ["kind", "slot", "share"]
+    return sent.select(*by, "keys", "n").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, GROWN)
+
+
+def _spans(keys: np.ndarray, size: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Parts of about so many ascending keys; no context of three bytes is in two."""
+    three, at = keys >> 8 * (DEEP - 2), 0
+    while at < len(keys):
+        end = min(at + size, len(keys))
+        end = int(np.searchsorted(three, three[end - 1], side="right"))
+        yield at, end
+        at = end
+
+
+def answers(asked: DataFrame, upper: bytes) -> DataFrame:
+    """(block, kind, keys, n): for each row of ``asked`` with a block the log10 probability of
+    its keys (32-bit floats), or the counts of its words. ``asked`` also has each slot's sums,
+    without a block, for every share."""
+    shared = asked.sparkSession.sparkContext.broadcast(upper)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, model = _arrow("block long, kind int, keys binary, n binary"), pickle.loads(shared.value)
+        now, table, words = None, None, {}
         for batch in batches:
-            texts = _texts(batch.column(1))
-            score, rest = deep_scores(texts, *m)
-            n_tokens, n_known, base = [], [], []
-            rare_row: list[int] = []
-            rare_word: list[bytes] = []
-            rare_n: list[int] = []
-            for k, text in enumerate(texts):
-                tokens = text.translate(LOWER).split()
-                tokens.append(END_WORD)
-                sums, hits, others = 0.0, 0, Counter()
-                for w, c in Counter(tokens).items():
-                    log = word_logs.get(w)
-                    if log is None:
-                        others[w] = c
-                    else:
-                        sums += c * log
-                        hits += c * (known[w] > 0)
-                n_tokens.append(len(tokens)), n_known.append(hits), base.append(sums)
-                rare_row.extend([at + k] * len(others)), rare_word.extend(others.keys()), rare_n.extend(others.values())
-            at += len(texts)
-            n, r = len(texts), len(rare_row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(at - n, at), pa.int64()), batch.column(0), batch.column(2), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score)],
-                names,
-            )
-            for own, key, c in rest:
-                for a in range(0, len(key), 100_000):
-                    part = slice(a, a + 100_000)
-                    size = len(key[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[part] + (at - n)), pa.nulls(size, batch.column(0).type), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.binary()), pa.array(key[part]), pa.array(c[part]), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64()), pa.nulls(size, pa.float64())],
-                        names,
-                    )
-            for a in range(0, r, 100_000):
-                part = slice(a, a + 100_000)
-                size = len(rare_row[part])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rare_row[part], pa.int64()), pa.nulls(size, batch.column(0).type), pa.nulls(size, pa.bool_()), pa.array(rare_word[part], pa.binary()), pa.nulls(size, pa.int64()), pa.array(rare_n[part], pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64()), pa.nulls(size, pa.float64())],
-                    names,
-                )
+            for kind, slot, share, block, data, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if block is None:
+                    now = kind, slot, share
+                    if kind == WORDS:
+                        words = dict(zip(unpacked_words(data), unpacked(n, "<i8").tolist()))
+                        continue
+                    k, c = unpacked_keys(data), unpacked(n, "<i8")
+                    table = Table(k, np.concatenate([model.logs(k[a:b], subtrees(k[a:b], c[a:b])[0]) for a, b in _spans(k)]).astype("<f4"))
+                    continue
+                if (kind, slot, share) != now:
+                    raise RuntimeError("a slot's sums are missing")
+                out = np.array([words[w] for w in unpacked_words(data)], "<i8") if kind == WORDS else table.get(unpacked_keys(data))[0]
+                yield _rows(schema, block=[block], kind=[kind], keys=[data], n=[packed(out)])
+
+    by = ["kind", "slot", "share"]
+    # Nulls come first: a slot's sums stand before what it is asked.
+    return asked.select(*by, "block", "keys", "n").repartition(*by).sortWithinPartitions(*by, "block").mapInArrow(run, "block long, kind int, keys binary, n binary")
+
+
+def deep_scores(texts: list[bytes], logs: Table) -> np.ndarray:
+    """log10 of each text's probability; ``logs`` has every key of the texts."""
+    out = np.zeros(len(texts))
+    for data, starts, owner in pieces(texts, CHUNK):
+        lp = logs.get(deep_keys(data))[0].astype(np.float64)
+        lp[_context(len(data), starts)] = 0
+        np.add.at(out, owner, np.add.reduceat(lp, starts))
+    return out
+
 
+def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): one row
+    per input row. ``train`` is a condition on ``docs``."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
-    made = materialize(rows.select("id", "t", "train").mapInArrow(run, f"row long, id {kind}, train boolean, word binary, ctx long, n_tokens long, n_known long, base double, score double"), "ctw_scored")
-    rare = made.filter("word is not null").select("row", F.col("word").alias("key"), F.col("n_tokens").alias("c"))
-    counts = words.filter(F.col("n") + F.col("m") < least).select("key", "n")
-    met = rare.join(counts, "key", "left").groupBy("row").agg(
-        F.sum(F.col("c") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more_base"),
-        F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("more_known"),
-    )
-    deep = made.filter("ctx is not null").select("row", F.col("ctx").alias("k"), F.col("n_tokens").alias("times"))
-    deep = deep.join(logs.filter(F.col("c") < often).select("k", "lp"), "k").groupBy("row").agg(F.sum(F.col("times") * F.col("lp")).alias("more_score"))
-    whole = made.filter("word is null and ctx is null").join(met, "row", "left").join(deep, "row", "left")
-    return whole.select(
-        "id",
-        "train",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n_train + distinct + 1)))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
-    )
+    made = materialize(blocks(rows), "ctw_blocks", compression="zstd")
+    sent = made.filter(F.col("kind") != TEXT).select("kind", "block", "slot", "keys", "n")
+    shares = max(1, -(-made.agg(F.count_distinct("block")).first()[0] // FAN))
+    dealt = sent.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int"))
+    alone = F.lit(0).alias("share")
+    first = dealt if shares == 1 else materialize(grown(dealt, False), "ctw_shares").withColumn("share", alone)
+    tree = materialize(grown(first, True), "ctw_slots")
+    sums = tree.filter(F.col("kind") != TOPS)
+    total = sums.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("z"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("o"), F.lit(0.0)).alias("v")).first()
+    n_train, distinct = int(total["n"]), int(total["v"])
+    tops = tree.filter(F.col("kind") == TOPS).groupBy("k").agg(F.sum("z"), F.sum("o"), F.sum("kids")).toArrow()
+    arrays = [c.to_numpy() for c in tops.columns]
+    order = np.argsort(arrays[0])
+    upper = pickle.dumps(Upper(*(x[order] for x in arrays)), protocol=5)
+    every = sums.select("kind", "slot", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(None).cast("long").alias("block"), "keys", "n")
+    told = answers(every.unionByName(dealt), upper)
+    texts = made.filter(F.col("kind") == TEXT).select("block", "kind", "keys", "n", "id", "t", "train")
+    met = told.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
+    fields = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, now, logs, words = None, None, None, {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        below = float(np.log10(n_train + distinct + 1))
+        for batch in batches:
+            schema = schema or _arrow(fields, id=batch.schema.field("id").type)
+            blocks_, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (blocks_[1:] != blocks_[:-1]) | (kinds[1:] != kinds[:-1]), [True])))
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                part = batch.slice(a, b - a)
+                if blocks_[a] != now:
+                    now, held, logs, words = blocks_[a], [], None, {}
+                if kinds[a] == KEYS:
+                    held += [(unpacked_keys(x), unpacked(y, "<f4")) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                elif kinds[a] == WORDS:
+                    for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                        words.update(zip(unpacked_words(x), unpacked(y, "<i8").tolist()))
+                else:
+                    if logs is None:
+                        logs, held = Table(*(np.concatenate(x) for x in zip(*held))), []
+                        unknown = {w for w, c in words.items() if not c}
+                        words = dict(zip(words, np.log10(1.0 + np.fromiter(words.values(), np.int64, len(words))).tolist()))
+                    for some in slices(part, 5, COUNTED):
+                        raw = _bytes(some.column(5))
+                        score = deep_scores(raw, logs)
+                        n_tokens, n_known, base = [], [], []
+                        for t, use in zip(raw, some.column(6).to_pylist()):
+                            own = t.translate(LOWER).split()
+                            own.append(END_WORD)
+                            n_tokens.append(len(own))
+                            n_known.append(len(own) if use else sum(w not in unknown for w in own))
+                            base.append(sum(map(words.__getitem__, own)) - len(own) * below)
+                        bits = -score / np.log10(2) / (1 + np.fromiter(map(len, raw), np.int64, len(raw)))
+                        yield _rows(schema, id=some.column(4), train=some.column(6), n_tokens=n_tokens, n_known=n_known, train_tokens=[n_train] * len(raw), base_score=base, score=score, bits_per_byte=bits)
+
+    return met.select("block", "kind", "keys", "n", "id", "t", "train").mapInArrow(run, fields)
