@@ -1,15 +1,18 @@
 """Exact top-k inner-product search by exhaustive term-at-a-time accumulation.
 
 A term is a component position, a posting (row, weight) a non-zero integer weight there.
-Queries and candidates are dealt into blocks by a hash of their id, and every query block
+Queries and candidates are dealt into blocks by a hash of the row, and every query block
 meets every candidate block in one task: each sparse query row scatters its terms' weighted
 postings into a dense score array of the block, the block's best k are taken by partition
 selection, and the k best of all blocks are merged. Block sizes are fixed, so a task's
 memory is too, whatever the tables' sizes.
 
 Defined results: rows with a null id, a null vector or a null or non-finite component take
-no part; of rows that share an id the smallest vector counts; a vector shorter than others
-has no posting in the missing positions; ties go to the smaller id; a query with fewer than
+no part; rows that share an id are candidates each (but not of a query of that id), and
+queries each, whose answers compete for the same k ranks; of rows equal in id and vector no
+more than k can be among k answers, so no more are compared; a vector shorter than others has
+no posting in the missing positions, and a very long one is whole in its row; ties go to the
+smaller id; a query with fewer than
 k candidates returns them all; extra columns are ignored; empty tables give an empty
 result. Inner products that could pass 2**63 raise an error.
 """
@@ -27,7 +30,7 @@ RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in ascending order, one row each, and their vectors padded with zeros."""
+    """Ids in ascending order and their vectors padded with zeros."""
     ids = table.column("id").to_numpy()
     vectors = table.column("v").combine_chunks()
     if isinstance(vectors, pa.ChunkedArray):
@@ -35,9 +38,8 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     flat, sizes = vectors.flatten().to_numpy(), np.asarray(vectors.value_lengths())
     full = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
     full[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    order = np.lexsort((*full.T[::-1], ids))
-    keep = [k for at, k in enumerate(order) if not at or ids[order[at - 1]] != ids[k]]
-    return ids[keep], full[keep]
+    order = np.argsort(ids, kind="stable")
+    return ids[order], full[order]
 
 
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
@@ -62,17 +64,14 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
                 score += query[t] * weights
             else:
                 score[rows] += query[t] * weights
-        at = np.searchsorted(ids, name)
-        own = at if at < len(ids) and ids[at] == name else -1
-        n = len(ids) - (own >= 0)
+        a, b = np.searchsorted(ids, name, side="left"), np.searchsorted(ids, name, side="right")
+        n = len(ids) - int(b - a)
         if n <= 0:
             continue
-        low = np.iinfo(kind).min
-        if own >= 0:
-            score[own] = low
+        score[a:b] = np.iinfo(kind).min  # its own id
         floor = np.partition(score, len(ids) - min(k, n))[len(ids) - min(k, n)]
         near = np.flatnonzero(score >= floor)
-        near = near[near != own]
+        near = near[(near < a) | (near >= b)]
         near = near[np.argsort(-score[near].astype(np.int64), kind="stable")][:k]
         out[0].extend([name] * len(near))
         out[1].extend(ids[near].tolist())
@@ -86,10 +85,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
     v = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     ints = rows.filter(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"))
+    copies = F.least(F.count(F.lit(1)), F.lit(k)).cast("int")
+    ints = ints.groupBy("id", "v").agg(F.sequence(F.lit(1), copies).alias("copy")).select("id", "v", F.explode("copy").alias("copy"))
     ints = materialize(ints, "topk_vectors")
     asked = ints.filter(is_query)
     n_q, n_c = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-ints.count() // CANDIDATE_BLOCK))
-    dealt = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    dealt = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("id", "v", "copy"), F.lit(n)).cast("int"))
     queries = dealt(asked, n_q, "qb").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
     candidates = dealt(ints, n_c, "cb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
