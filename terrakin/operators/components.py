@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from terrakin.storage import materialize
+from terrakin.storage import discard, materialize
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node of each connected component, for every node of an
     edge. Alternating large-star and small-star steps (Kiveris et al. 2014): each step is a
-    partial-aggregated min and a join, so a hub is never gathered into one task."""
+    partial-aggregated min and a plain join, in which adaptive execution splits a hub's rows."""
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     for _ in range(rounds):
@@ -20,7 +20,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame
         large = large.filter("u <> v").distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v")))
-        now = materialize(small.filter("u <> v").distinct(), "edges")
+        last, now = now, materialize(small.filter("u <> v").distinct(), "edges")
+        discard(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break

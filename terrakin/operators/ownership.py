@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from terrakin.storage import materialize
+from terrakin.storage import discard, materialize
 
 
 def owners(knn: DataFrame, landmarks: DataFrame, rounds: int = 1_000) -> DataFrame:
@@ -37,7 +37,8 @@ def owners(knn: DataFrame, landmarks: DataFrame, rounds: int = 1_000) -> DataFra
         open_ = knn.join(now.select(F.col("id").alias("q")), "q", "left_anti").join(now.select(F.col("id").alias("c"), "owner", "owner_slot"), "c")
         new = open_.groupBy(F.col("q").alias("id")).agg(F.min(F.struct("rank", "owner", "owner_slot", "dist")).alias("b"))
         new = new.select("id", F.col("b.owner").alias("owner"), F.col("b.owner_slot").alias("owner_slot"), F.col("b.dist").alias("strength"), F.col("b.owner_slot").alias("first_slot"), F.array("b.owner_slot").alias("association"))
-        now = materialize(now.unionByName(new), "owners")
+        last, now = now, materialize(now.unionByName(new), "owners")
+        discard(last)
         before, owned = owned, now.count()
         if owned == before:
             raise ValueError(f"{n - owned} points reach no landmark")

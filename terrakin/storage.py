@@ -13,13 +13,16 @@ _scratch: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it
-    is unset (tests, one machine) a temporary folder is made and set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset
+    a temporary folder is made and set if driver and executors are one machine (a local
+    master); on a cluster that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     app = sc.applicationId
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="terrakin-shared-")
         sc.setCheckpointDir(_own[app])
@@ -49,4 +52,13 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     executor costs only the tasks it ran. ``options`` are those of the Parquet writer."""
     path = scratch(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Remove what ``materialize`` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "__dict__", {}).get("_written_to")
+    if path:
+        _remove(df.sparkSession, path)
