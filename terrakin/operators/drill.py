@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from terrakin.operators.index import numbered
+from terrakin.operators.knn import precomputed
+
 
 def selected(level: DataFrame, labels: list[int]) -> DataFrame:
     """(slot) of a level's points with one of these labels."""
@@ -30,3 +33,27 @@ def with_context(below: DataFrame, focus: DataFrame, above: DataFrame, context:
 def outside(level: DataFrame, selection: DataFrame) -> DataFrame:
     """(id) of a level's slots that are not selected."""
     return level.join(selection.select("slot"), "slot", "left_anti").select(F.col("slot").alias("id"))
+
+
+def padded(data: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(row, col, dist): distances (row, col, val) among ``nodes`` (id), unknown pairs at 1, as
+    far as a search for k neighbours can use them. Rows with fewer than k below 1 get the
+    distance 1 to those of themselves and of the first k nodes that they lack."""
+    nodes = nodes.distinct()
+    near = data.filter("val < 1").join(nodes.select(F.col("id").alias("row")), "row", "left_semi").join(nodes.select(F.col("id").alias("col")), "col", "left_semi").select("row", "col", F.col("val").alias("dist"))
+    held = nodes.select(F.col("id").alias("row")).join(near.groupBy("row").agg(F.count(F.lit(1)).alias("n")), "row", "left").filter(F.coalesce("n", F.lit(0)) < k)
+    first = numbered(nodes, ["id"], "place").filter(F.col("place") < k).agg(F.sort_array(F.collect_list("id")).alias("first")).scalar()
+    pads = held.select("row", F.explode(F.array_union(first, F.array("row"))).alias("col")).join(near.select("row", "col"), ["row", "col"], "left_anti")
+    return near.union(pads.select("row", "col", F.lit(1.0)))
+
+
+def padded_neighbors(data: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """The k nearest of ``padded``; k is cut to the number of nodes."""
+    return precomputed(padded(data, nodes, k), min(k, nodes.distinct().count()))
+
+
+def correspondence(above: DataFrame, below: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(slot, id, place): the point below (slot, orig_id) that each chosen slot above is, by
+    their original ids, and its rank among them."""
+    met = above.join(chosen.select("slot"), "slot", "left_semi").select("slot", "orig_id").join(below.select(F.col("slot").alias("id"), "orig_id"), "orig_id").select("slot", "id")
+    return numbered(met, ["slot"], "place")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from terrakin.functions.vectors import doubles
-from terrakin.storage import materialize
+from terrakin.storage import discard, materialize
 
 BLOCK, TILE = 4_096, 256
 FOUND = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("dist", pa.float64())])
@@ -116,7 +116,9 @@ def pairwise(points: DataFrame, block: int = 1_024) -> DataFrame:
 
 def precomputed(dists: DataFrame, k: int) -> DataFrame:
     """The k smallest of each row of a distance table (row, col, dist); a row's own column
-    comes first among equals."""
+    comes first among equals. A row of fewer than k distances is an error."""
+    if not dists.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k).isEmpty():
+        raise ValueError(f"some rows hold fewer than {k} distances")
     rank = F.row_number().over(Window.partitionBy("row").orderBy("dist", (F.col("row") != F.col("col")).cast("int"), "col")) - 1
     return dists.withColumn("rank", rank).filter(F.col("rank") < k).select(F.col("row").alias("q"), "rank", F.col("col").alias("c"), "dist")
 
@@ -175,7 +177,8 @@ def approximate(points: DataFrame, k: int, trees: int = 8, cell: int = 512, roun
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(acc))], ["q", "c", "dist"])
 
         tried = both.mapInArrow(measure, "q long, c long, dist double")
-        now = materialize(_ranked(now.select("q", "c", "dist").union(tried), k), "knn_round")
+        last, now = now, materialize(_ranked(now.select("q", "c", "dist").union(tried), k), "knn_round")
+        discard(last), discard(links)
     return _self(base).unionByName(now)
 
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from terrakin.functions.rng import uniform
 from terrakin.functions.vectors import clipped
 from terrakin.operators.components import components
 from terrakin.operators.index import numbered
-from terrakin.storage import materialize
+from terrakin.storage import discard, materialize
 
 NEGATIVES, LIMIT, PUSH = 5, 4.0, 4.0
 #: Up to so many vertices and edges a layout is one task's work; beyond, epochs are joins.
 ROWS, EDGES = 200_000, 6_000_000
-DENSE = 3_000  # vertices of a component for a dense eigen-solver
+DENSE, LEAST = 3_000, 4  # vertices of a component for a dense eigen-solver, and for any
+TOLERANCE, STEPS = 1e-6, 400  # of the iterated solver
 PLACE = "id long, x double, y double"
 
 
@@ -25,60 +28,164 @@ def random_init(nodes: DataFrame, level: int, seed: int) -> DataFrame:
     return nodes.select("id", draw(0).alias("x"), draw(1).alias("y"))
 
 
-def spectral_init(graph: DataFrame, nodes: DataFrame, seed: int = 42, rounds: int = 60) -> DataFrame:
-    """(id, x, y): eigenvectors 2 and 3 of the normalised Laplacian of each connected
-    component, scaled to 10, components side by side. Components above ``DENSE`` vertices are
-    solved by ``rounds`` orthogonal iterations of joins, smaller ones densely."""
+def normals(seed: int, *key: Column | str | int) -> Column:
+    """Standard normal draws, by Box and Muller."""
+    u, v = (uniform(seed, "normal", k, *key) for k in (0, 1))
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.lit(float(np.pi)) * v)
+
+
+def spectral_init(graph: DataFrame, nodes: DataFrame, seed: int = 42, points: DataFrame | None = None, distances: DataFrame | None = None) -> DataFrame:
+    """(id, x, y): each connected component by eigenvectors 2 and 3 of its normalised
+    Laplacian, components placed by ``component_places``, all scaled to 10, with normal noise of
+    1e-4. Components of fewer than four vertices lie at their place. Components of up to
+    ``DENSE`` vertices are solved densely, larger ones by Lanczos steps of joins until the
+    residual is below ``TOLERANCE``; both give the same vectors up to that. Vectors are signed so
+    that their largest component is positive. ``points`` (id, features) or ``distances`` (row,
+    col, dist) tell how far components lie from each other."""
     links = components(graph, "i", "j")
     part = nodes.join(links.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("part"))
     part = materialize(part, "spectral_parts")
-    sizes = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(part.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "spectral_sizes")
     rows = graph.join(part.withColumnRenamed("id", "i"), "i").select("part", "i", "j", "w").join(sizes, "part")
 
     def dense(edges: pa.Table, members: pa.Table) -> pa.Table:
         ids = np.sort(members.column("id").to_numpy())
         n = len(ids)
         xy = np.zeros((n, 2))
-        if n > 3:
+        if n >= LEAST:
             w = np.zeros((n, n))
             w[np.searchsorted(ids, edges.column("i").to_numpy()), np.searchsorted(ids, edges.column("j").to_numpy())] = edges.column("w").to_numpy()
             root = np.sqrt(np.maximum(w.sum(axis=1), 1e-300))
-            vectors = np.linalg.eigh(np.eye(n) - w / root[:, None] / root[None, :])[1][:, 1:3]
-            vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), [0, 1]] < 0, -1, 1)
-            xy = vectors * (10 / np.abs(vectors).max())
+            xy = np.linalg.eigh(np.eye(n) - w / root[:, None] / root[None, :])[1][:, 1:3]
+            xy = xy * np.where(xy[np.abs(xy).argmax(axis=0), [0, 1]] < 0, -1, 1)
+            xy = xy / np.abs(xy).max()
         return pa.Table.from_arrays([pa.array(ids), pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["id", "x", "y"])
 
     rows = materialize(rows, "spectral_edges")
     small = materialize(part.join(sizes.filter(F.col("n") <= DENSE).select("part"), "part"), "spectral_members")
     found = rows.filter(F.col("n") <= DENSE).groupBy("part").cogroup(small.groupBy("part")).applyInArrow(dense, PLACE)
     for r in sizes.filter(F.col("n") > DENSE).toLocalIterator():  # at most n / DENSE components
-        found = found.unionByName(_iterated(rows.filter(F.col("part") == r["part"]), seed, rounds))
-    # Side by side: a component's centre is uniform in a square that grows with their number.
-    n = sizes.count()
-    spread = 0.0 if n == 1 else 20.0 * n**0.5
-    shift = lambda dim: (uniform(seed, "part", F.col("part"), dim) - 0.5) * spread
-    return found.join(part, "id").select("id", (F.col("x") + shift(0)).alias("x"), (F.col("y") + shift(1)).alias("y"))
+        found = found.unionByName(_iterated(rows.filter(F.col("part") == r["part"]), seed))
+    found = found.join(part, "id")
+    if sizes.count() > 1:
+        at = component_places(sizes, part, seed, points, distances)
+        found = found.join(at, "part").select("id", (F.col("x") * F.col("span") + F.col("px")).alias("x"), (F.col("y") * F.col("span") + F.col("py")).alias("y"))
+    found = materialize(found.select("id", "x", "y"), "spectral_places")
+    top = found.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 1.0
+    noise = lambda dim: normals(seed, "spectral", F.col("id"), dim) * 1e-4
+    return found.select("id", (F.col("x") * (10 / top) + noise(0)).alias("x"), (F.col("y") * (10 / top) + noise(1)).alias("y"))
+
+
+def centroids(points: DataFrame, part: DataFrame) -> DataFrame:
+    """(part, at, mean): the mean vector of each component, by dimension."""
+    rows = points.select("id", F.posexplode("features").alias("at", "v")).join(part, "id")
+    return rows.groupBy("part", "at").agg(F.avg("v").alias("mean"))
+
 
+def linkage(distances: DataFrame, part: DataFrame) -> DataFrame:
+    """(a, b, dist), a < b: the smallest distance between two components that have one."""
+    a, b = part.select(F.col("id").alias("row"), F.col("part").alias("a")), part.select(F.col("id").alias("col"), F.col("part").alias("b"))
+    met = distances.join(a, "row").join(b, "col").filter("a <> b")
+    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("dist").alias("dist"))
 
-def _iterated(edges: DataFrame, seed: int, rounds: int) -> DataFrame:
-    """The same by orthogonal iteration of (I + D^-1/2 W D^-1/2) / 2, a join a round."""
+
+def component_places(sizes: DataFrame, part: DataFrame, seed: int = 42, points: DataFrame | None = None, distances: DataFrame | None = None) -> DataFrame:
+    """(part, px, py, span): where components go and how far they may reach, half the way to
+    the nearest other. Up to four lie on the axes, in the order of their smallest vertices: one
+    each way. More are laid out by the affinities exp(-d^2) of their centroids (``points``) or of
+    their nearest members (``distances``; 1 where none is known): eigenvectors 2 and 3 of the
+    normalised Laplacian, over the square roots of the degrees, scaled to 1. Without either, or
+    with more than ``DENSE`` components, places are uniform draws."""
+    names = [r["part"] for r in sizes.select("part").orderBy("part").limit(DENSE + 1).collect()]
+    n = len(names)
+    if n > DENSE or n > 4 and points is None and distances is None:
+        at = lambda dim: uniform(seed, "part", F.col("part"), dim) * 2 - 1
+        return sizes.select("part", at(0).alias("px"), at(1).alias("py"), (F.lit(0.5) / F.sqrt(F.lit(float(sizes.count())))).alias("span"))
+    if n <= 4:
+        half = -(-n // 2)
+        xy = np.array([(np.eye(2)[k % half] if half > 1 else np.array([1.0, 0.0])) * (1 if k < half else -1) for k in range(n)])
+    else:
+        place = {p: k for k, p in enumerate(names)}
+        d = np.ones((n, n)) - np.eye(n)
+        if points is not None:
+            means = centroids(points, part).toPandas()
+            x = np.zeros((n, int(means["at"].max()) + 1))
+            x[means["part"].map(place), means["at"]] = means["mean"]
+            d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
+        else:
+            for r in linkage(distances, part).toLocalIterator():
+                d[place[r["a"]], place[r["b"]]] = d[place[r["b"]], place[r["a"]]] = r["dist"]
+        w = np.exp(-d * d)
+        np.fill_diagonal(w, 0)
+        root = np.sqrt(w.sum(axis=1))
+        xy = np.linalg.eigh(np.eye(n) - w / root[:, None] / root[None, :])[1][:, 1:3] / root[:, None]
+        xy = xy * np.where(xy[np.abs(xy).argmax(axis=0), [0, 1]] < 0, -1, 1)
+        xy = xy / xy.max()
+    gap = np.sqrt(((xy[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2))
+    span = np.where(gap > 0, gap, np.inf).min(axis=1) / 2
+    span = np.where(np.isfinite(span), span, 1.0)
+    rows = [(int(p), float(a), float(b), float(c)) for p, (a, b), c in zip(names, xy, span)]
+    return sizes.sparkSession.createDataFrame(rows, "part long, px double, py double, span double")
+
+
+def _iterated(edges: DataFrame, seed: int) -> DataFrame:
+    """(id, x, y) of one component: eigenvectors 2 and 3, scaled to 1, one after the other."""
     root = materialize(edges.groupBy("i").agg(F.sqrt(F.sum("w")).alias("root")), "spectral_roots")
     step = materialize(edges.join(root, "i").join(root.select(F.col("i").alias("j"), F.col("root").alias("other")), "j").select("i", "j", (F.col("w") / F.col("root") / F.col("other")).alias("m")), "spectral_matrix")
-    now = root.select("i", "root", *[(uniform(seed, "spectral", F.col("i"), d) - 0.5).alias(c) for d, c in enumerate("xy")])
-    for k in range(rounds):
-        s = now.agg(*[F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in (("root", "root"), ("root", "x"), ("root", "y"))], F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy")).first()
-        a, b = s["rootx"] / s["rootroot"], s["rooty"] / s["rootroot"]
-        xx, xy, yy = s["xx"] - a * s["rootx"], s["xy"] - a * s["rooty"], s["yy"] - b * s["rooty"]
-        c = xy / xx
-        nx, ny = xx**0.5, max(yy - c * xy, 1e-300) ** 0.5
-        x = (F.col("x") - a * F.col("root")) / nx
-        y = (F.col("y") - b * F.col("root") - c * (F.col("x") - a * F.col("root"))) / ny
-        now = now.select("i", "root", x.alias("x"), y.alias("y"))
-        if k < rounds - 1:
-            moved = step.join(now.select(F.col("i").alias("j"), "x", "y"), "j").groupBy("i").agg(F.sum(F.col("m") * F.col("x")).alias("mx"), F.sum(F.col("m") * F.col("y")).alias("my"))
-            now = materialize(now.join(moved, "i").select("i", "root", ((F.col("x") + F.col("mx")) / 2).alias("x"), ((F.col("y") + F.col("my")) / 2).alias("y")), "spectral_round")
-    top = now.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).scalar()
-    return now.select(F.col("i").alias("id"), (F.col("x") * 10 / top).alias("x"), (F.col("y") * 10 / top).alias("y"))
+    size = root.agg(F.sqrt(F.sum(F.col("root") * F.col("root")))).first()[0]
+    known = materialize(root.select("i", (F.col("root") / size).alias("d0")), "spectral_known")
+    for k in (1, 2):
+        vector = _lanczos(step, known, k, seed)
+        if vector is None:  # no convergence: this component's places are draws
+            draw = lambda dim: uniform(seed, "spectral", F.col("i"), dim) * 2 - 1
+            return root.select(F.col("i").alias("id"), draw(0).alias("x"), draw(1).alias("y"))
+        known = materialize(known.join(vector, "i"), "spectral_known")
+    signs = known.agg(*[F.max_by(c, F.struct(F.abs(F.col(c)), -F.col("i"))).alias(c) for c in ("d1", "d2")]).first()
+    top = max(abs(signs["d1"]), abs(signs["d2"]))
+    x, y = (F.col(c) * (np.sign(signs[c]) / top) for c in ("d1", "d2"))
+    return known.select(F.col("i").alias("id"), x.alias("x"), y.alias("y"))
+
+
+def _lanczos(step: DataFrame, known: DataFrame, k: int, seed: int) -> DataFrame | None:
+    """(i, dk): the eigenvector of ``step`` (i, j, m) with the largest eigenvalue beside the
+    ``known`` ones (i, d0 ...); None if the residual stays above TOLERANCE."""
+    names = [c for c in known.columns if c != "i"]
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
+
+    def cleared(df: DataFrame, v: str) -> DataFrame:
+        """``v`` without its part along the known vectors, of length 1, and that length."""
+        along = df.agg(*[dot(v, d).alias(d) for d in names]).first()
+        out = df.withColumn(v, F.col(v) - sum((F.col(d) * along[d] for d in names), F.lit(0.0)))
+        length = out.agg(F.sqrt(dot(v, v))).first()[0]
+        return out.withColumn(v, F.col(v) / (length or 1.0)), length
+
+    now, _ = cleared(known.withColumn("q", uniform(seed, "lanczos", k, F.col("i")) - 0.5), "q")
+    now = materialize(now.withColumn("p", F.lit(0.0)), "lanczos")
+    written, alphas, betas = [now], [], []
+    for _ in range(STEPS):
+        moved = step.join(now.select(F.col("i").alias("j"), "q"), "j").groupBy("i").agg(F.sum(F.col("m") * F.col("q")).alias("w"))
+        made = materialize(now.join(moved, "i"), "lanczos_step")
+        alphas.append(made.agg(dot("w", "q")).first()[0])
+        made = made.withColumn("w", F.col("w") - alphas[-1] * F.col("q") - (betas[-1] if betas else 0.0) * F.col("p"))
+        made, beta = cleared(made, "w")
+        values, vectors = np.linalg.eigh(np.diag(alphas) + np.diag(betas, 1) + np.diag(betas, -1))
+        done = beta < 1e-12 or abs(beta * vectors[-1, -1]) < TOLERANCE
+        if done:
+            break
+        betas.append(beta)
+        now = materialize(made.select("i", *names, F.col("q").alias("p"), F.col("w").alias("q")), "lanczos")
+        written.append(now)
+    else:
+        return None
+    parts = [df.select("i", (F.col("q") * float(c)).alias("q")) for df, c in zip(written, vectors[:, -1])]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    found, _ = cleared(known.join(found.groupBy("i").agg(F.sum("q").alias(f"d{k}")), "i"), f"d{k}")
+    found = materialize(found.select("i", f"d{k}"), "lanczos_vector")
+    for df in written:
+        discard(df)
+    return found
 
 
 def rescaled(places: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -109,14 +216,49 @@ def alpha(epoch: int, n_epochs: int) -> float:
     return 1.0 - max(0, epoch - 1) / n_epochs
 
 
-def descend(xy: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, move: np.ndarray, a: float, b: float, n_epochs: int, seed: int) -> np.ndarray:
+def negatives(seed: int, epoch: int, n: int) -> Column:
+    """An array of the places (0 to n - 1) that edge (i, j) is pushed away from in an epoch:
+    h + draw * g for the first and next 60 bits of md5(seed | neg | epoch | i | j)."""
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("neg"), F.lit(str(epoch)), F.col("i").cast("string"), F.col("j").cast("string")))
+    h, g = (F.pmod(F.conv(F.substring(text, at, 15), 16, 10).cast("long"), F.lit(n)) for at in (1, 16))
+    return F.array(*[F.pmod(h + k * g, F.lit(n)) for k in range(NEGATIVES)])
+
+
+def negatives_of(seed: int, epoch: int, n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The same for arrays of edges, a row each."""
+    raw = b"".join(hashlib.md5(f"{seed}|neg|{epoch}|{a}|{b}".encode()).digest() for a, b in zip(i.tolist(), j.tolist()))
+    high, low = np.frombuffer(raw, ">u8").reshape(-1, 2).astype(np.uint64).T
+    h, g = (high >> np.uint64(4)) % np.uint64(n), ((high & np.uint64(15)) << np.uint64(56) | low >> np.uint64(8)) % np.uint64(n)
+    return (h[:, None].astype(np.int64) + np.arange(NEGATIVES) * g[:, None].astype(np.int64)) % n
+
+
+def repulsion(d2: Column, a: float, b: float) -> Column:
+    """Coefficient of a push at squared distance ``d2``."""
+    return F.when(d2 > 0, 2 * b / ((0.001 + d2) * (a * F.pow(d2, b) + 1))).otherwise(0.0)
+
+
+def push_gradient(places: DataFrame, edges: DataFrame, a: float, b: float, epoch: int, seed: int) -> DataFrame:
+    """(i, j, draw, k, gx, gy): the push of every drawn place on an edge's first end. ``places``
+    has pos, the rank of the id. A place drawn for itself does not push."""
+    n = places.count()
+    drawn = edges.select("i", "j", F.posexplode(negatives(seed, epoch, n)).alias("draw", "pos"))
+    met = drawn.join(places.select("pos", F.col("id").alias("k"), F.col("x").alias("xk"), F.col("y").alias("yk")), "pos")
+    met = met.join(places.select(F.col("id").alias("i"), "x", "y"), "i").filter("i <> k")
+    met = met.withColumns({"dx": F.col("x") - F.col("xk"), "dy": F.col("y") - F.col("yk")})
+    c = repulsion(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), a, b)
+    push = lambda d: F.when(F.col("c") > 0, clipped(F.col("c") * F.col(d))).otherwise(PUSH)
+    return met.withColumn("c", c).select("i", "j", "draw", "k", push("dx").alias("gx"), push("dy").alias("gy"))
+
+
+def descend(xy: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, move: np.ndarray, a: float, b: float, n_epochs: int, seed: int, ids: np.ndarray | None = None) -> np.ndarray:
     """All epochs over arrays. Every epoch's pulls and pushes are taken at the positions
-    before it and added up, so the result does not depend on the order of edges."""
+    before it and added up, so the result does not depend on the order of edges. ``ids``: of
+    the positions, which name edges in draws."""
     n, every = len(xy), w.max(initial=0) / w
-    for epoch in range(n_epochs):
-        due = np.floor(epoch / every) > np.floor((epoch - 1) / every) if epoch else np.zeros(len(w), bool)
+    ids = np.arange(n) if ids is None else ids
+    for epoch in range(1, n_epochs):
+        due = np.floor(epoch / every) > np.floor((epoch - 1) / every)
         h, t = i[due], j[due]
-        rng = np.random.default_rng((seed, epoch))
         delta = xy[h] - xy[t]
         d2 = (delta * delta).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -125,8 +267,7 @@ def descend(xy: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, move: n
         step = np.zeros_like(xy)
         for axis in (0, 1):
             step[:, axis] += np.bincount(h, g[:, axis], n) - np.bincount(t, g[:, axis], n)
-        for _ in range(NEGATIVES):
-            k = rng.integers(0, n, len(h))
+        for k in negatives_of(seed, epoch, n, ids[h], ids[t]).T:
             delta = xy[h] - xy[k]
             d2 = (delta * delta).sum(axis=1)
             c = np.where(d2 > 0, 2 * b / ((0.001 + d2) * (a * d2**b + 1)), 0.0)
@@ -141,7 +282,8 @@ def descend(xy: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, move: n
 def optimized(places: DataFrame, graph: DataFrame, a: float, b: float, n_epochs: int, seed: int, fixing_term: float = 0.01) -> DataFrame:
     """(id, x, y) after ``n_epochs``. ``places`` has id, x, y and perhaps is_fixed: such rows
     move by ``fixing_term`` of their gradient. Graphs up to ``ROWS`` and ``EDGES`` are one
-    task; larger ones take a few joins an epoch."""
+    task; larger ones take a few joins an epoch, with the same draws and steps: results are
+    equal up to rounding."""
     if "is_fixed" not in places.columns:
         places = places.withColumn("is_fixed", F.lit(False))
     places = materialize(places.select("id", "x", "y", "is_fixed"), "layout_places")
@@ -157,7 +299,7 @@ def optimized(places: DataFrame, graph: DataFrame, a: float, b: float, n_epochs:
         move = np.where(np.array(p.column("is_fixed").to_pylist(), bool)[order], fixing_term, 1.0)
         i, j = (np.searchsorted(ids, e.column(c).to_numpy()) for c in "ij")
         by = np.lexsort((j, i))
-        xy = descend(xy, i[by], j[by], e.column("w").to_numpy()[by], move, a, b, n_epochs, seed)
+        xy = descend(xy, i[by], j[by], e.column("w").to_numpy()[by], move, a, b, n_epochs, seed, ids)
         return pa.Table.from_arrays([pa.array(ids), pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["id", "x", "y"])
 
     one = F.lit(0).alias("job")
@@ -166,20 +308,15 @@ def optimized(places: DataFrame, graph: DataFrame, a: float, b: float, n_epochs:
 
 def _joined_epochs(places: DataFrame, edges: DataFrame, a: float, b: float, n_epochs: int, seed: int, fixing_term: float) -> DataFrame:
     now = numbered(places, ["id"], "pos")
-    n = now.count()
     edges = materialize(edges.withColumn("every", edges.agg(F.max("w")).scalar() / F.col("w")), "layout_every")
     for epoch in range(1, n_epochs):
         due = edges.filter(F.floor(F.lit(epoch) / F.col("every")) > F.floor(F.lit(epoch - 1) / F.col("every"))).select("i", "j")
         pull = edge_gradient(now, due, a, b)
         pulls = pull.select(F.col("i").alias("id"), "gx", "gy").union(pull.select("j", -F.col("gx"), -F.col("gy")))
-        draw = lambda k: F.floor(uniform(seed, "neg", epoch, F.col("i"), F.col("j"), k) * n).cast("long")
-        away = due.select("i", F.explode(F.array(*[draw(k) for k in range(NEGATIVES)])).alias("pos"))
-        met = away.join(now.select("pos", F.col("id").alias("k"), F.col("x").alias("xk"), F.col("y").alias("yk")), "pos").join(now.select(F.col("id").alias("i"), "x", "y"), "i").filter("i <> k")
-        met = met.withColumns({"dx": F.col("x") - F.col("xk"), "dy": F.col("y") - F.col("yk")}).withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-        c = 2 * b / ((0.001 + F.col("d2")) * (a * F.pow("d2", b) + 1))
-        push = lambda d: F.when(F.col("d2") > 0, clipped(c * F.col(d))).otherwise(PUSH)
-        steps = pulls.union(met.select("i", push("dx"), push("dy"))).groupBy("id").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
+        push = push_gradient(now, due, a, b, epoch, seed)
+        steps = pulls.union(push.select("i", "gx", "gy")).groupBy("id").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
         rate = F.when(F.col("is_fixed"), fixing_term).otherwise(1.0) * alpha(epoch, n_epochs)
         moved = now.join(steps, "id", "left").fillna(0.0, ["gx", "gy"])
-        now = materialize(moved.select("id", (F.col("x") + rate * F.col("gx")).alias("x"), (F.col("y") + rate * F.col("gy")).alias("y"), "is_fixed", "pos"), "layout_epoch")
+        last, now = now, materialize(moved.select("id", (F.col("x") + rate * F.col("gx")).alias("x"), (F.col("y") + rate * F.col("gy")).alias("y"), "is_fixed", "pos"), "layout_epoch")
+        discard(last)
     return now.select("id", "x", "y")

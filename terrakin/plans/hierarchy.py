@@ -22,6 +22,7 @@ class Level:
     bands: DataFrame
     edges: DataFrame
     graph: DataFrame
+    features: DataFrame | None = None
     distances: DataFrame | None = None
     landmarks: DataFrame | None = None
     membership: DataFrame | None = None
@@ -64,7 +65,7 @@ def fit(points: DataFrame, params: Params = Params()) -> "Model":
     k = params.n_neighbors
     tables = rows.select(F.col("id").alias("slot"), F.col("id").alias("orig_id"), "label")
     knn, bands, edges, graph = _graphs(nn.search(rows, k, params.knn_algorithm, params.seed), k)
-    level, levels, influence = Level(tables, knn, bands, edges, graph), [], None
+    level, levels, influence = Level(tables, knn, bands, edges, graph, features=rows.select("id", "features")), [], None
     for at, size in enumerate(sizes[1:]):
         counts = walks.end_points(level.edges, at, params.seed, params.landmark_walks, params.landmark_steps)
         marks = materialize(lm.chosen(counts, size), "landmarks")
@@ -125,10 +126,11 @@ class Model:
         return at.membership.select("id", "owner_slot")
 
     def _init(self, graph: DataFrame, nodes: DataFrame, level: int, init_df: DataFrame | None) -> DataFrame:
+        at = self.levels[level]
         if init_df is not None:
             return nodes.join(init_df.select("id", "x", "y"), "id")
         if self.params.init == "Spectral":
-            return layout.spectral_init(graph, nodes, self.params.seed)
+            return layout.spectral_init(graph, nodes, self.params.seed, at.features, at.distances)
         return layout.random_init(nodes, level, self.params.seed)
 
     def _laid_out(self, graph: DataFrame, nodes: DataFrame, level: int, fixed: DataFrame | None, init_df: DataFrame | None) -> DataFrame:
@@ -161,6 +163,18 @@ class Model:
         chosen = slots if labels is None else drill.selected(above.points, labels)
         return drill.members(self._level(level - 1).membership, chosen)
 
+    def padded_neighbors(self, level: int, k: int, slots: DataFrame | None = None, labels: list[int] | None = None) -> DataFrame:
+        """(q, rank, c, dist): the k nearest among what the selection owns one level below
+        (which has distances of its own), where unknown pairs are 1 apart."""
+        below = self._level(level - 1, 1)
+        return drill.padded_neighbors(self.get_data(level - 1), self.members(level, slots, labels).select("id"), k) if below.distances is not None else None
+
+    def correspondence(self, level: int, slots: DataFrame | None = None, labels: list[int] | None = None) -> DataFrame:
+        """(slot, id, place): the point one level below that each selected landmark is, and its
+        place in the order of landmarks."""
+        chosen = slots if labels is None else drill.selected(self._level(level, 1).points, labels)
+        return drill.correspondence(self._level(level, 1).points, self._level(level - 1).points, chosen)
+
     def drill(self, level: int, slots: DataFrame | None = None, labels: list[int] | None = None, focus_context: bool = False, fixed_df: DataFrame | None = None) -> DataFrame:
         """(slot, orig_id, label, influence, is_fixed, role, x, y) of what the selection owns
         one level below; with ``focus_context`` the unselected landmarks stay around it
@@ -193,4 +207,7 @@ class Model:
 def umap(points: DataFrame, params: Params | None = None, init_df: DataFrame | None = None) -> DataFrame:
     """(slot, orig_id, label, x, y) of one level, with a spectral start unless told otherwise."""
     params = replace(params or Params(init="Spectral"), levels=())
+    n = validated(points).count()
+    if n <= params.n_neighbors:  # one level alone takes all there are; levels above refuse
+        params = replace(params, n_neighbors=n - 1)
     return fit(points, params).embed(0, init_df=init_df).drop("level")

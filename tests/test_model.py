@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrakin.functions.curve import find_ab
-from terrakin.operators import knn as nn, landmarks, layout, metrics, ownership, tables, walks
+from terrakin.operators import drill, knn as nn, landmarks, layout, metrics, ownership, tables, walks
 from terrakin.operators.components import components
 from terrakin.params import Params
 from terrakin.plans import hierarchy
@@ -58,6 +58,12 @@ def test_same_seed_same_layout(fitted):
     assert metrics.reproducible(fitted.embed(2), fitted.embed(2))
 
 
+def test_layout_from_given_places(spark, fitted):
+    at = fitted.levels[2].points.select(F.col("slot").alias("id"), F.col("slot").cast("double").alias("x"), F.lit(0.5).alias("y"))
+    one = fitted.embed(2, init_df=at)
+    assert one.count() == 20 and metrics.reproducible(one, fitted.embed(2, init_df=at)) and not metrics.reproducible(one, fitted.embed(2))
+
+
 @pytest.mark.parametrize("bad", [0, 3, -1])
 def test_levels_out_of_bounds(fitted, bad):
     with pytest.raises(ValueError):
@@ -110,6 +116,70 @@ def test_epochs_by_joins_move_points(spark, monkeypatch):
     assert len(out) == 3 and np.isfinite(out[["x", "y"]].to_numpy()).all()
 
 
+def test_epochs_by_joins_and_by_arrays_agree(spark, fitted, monkeypatch):
+    at = fitted.levels[2]
+    start = layout.random_init(at.points.select(F.col("slot").alias("id")), 2, 42).withColumn("is_fixed", F.col("id") % 5 == 0)
+    runs = []
+    for rows in (layout.ROWS, 0):
+        monkeypatch.setattr(layout, "ROWS", rows)
+        runs.append(layout.optimized(start, at.graph, 1.4, 0.9, 5, 42).orderBy("id").toPandas()[["x", "y"]].to_numpy())
+    assert np.allclose(*runs, atol=1e-6)
+
+
+def test_spectral_by_joins_and_dense_agree(spark, monkeypatch):
+    """A path of 12 with growing weights, a triangle and a lone vertex."""
+    path = [(k, k + 1, 1.0 + k / 10) for k in range(11)] + [(20, 21, 1.0), (21, 22, 0.5), (20, 22, 0.5)]
+    g = spark.createDataFrame([e for a, b, w in path for e in ((a, b, w), (b, a, w))], "i long, j long, w double")
+    nodes = spark.createDataFrame([(k,) for k in [*range(12), 20, 21, 22, 30]], "id long")
+    runs = []
+    for dense in (layout.DENSE, 6):
+        monkeypatch.setattr(layout, "DENSE", dense)
+        runs.append(layout.spectral_init(g, nodes).orderBy("id").toPandas()[["x", "y"]].to_numpy())
+    assert np.allclose(*runs, atol=1e-3)
+    xy = runs[0]
+    # Three components: along x, along y, against x; half the way apart, scaled to 10.
+    assert np.allclose(xy[12:15], [0, xy[12, 1]], atol=2e-3) and abs(xy[15, 1]) < 2e-3
+    m = np.zeros((12, 12))
+    for i, j, w in path[:11]:
+        m[i, j] = m[j, i] = w
+    root = np.sqrt(m.sum(axis=1))
+    values, vectors = np.linalg.eigh(m / root[:, None] / root[None, :])
+    got = xy[:12] - [xy[15, 0] * -1, 0]
+    for axis, v in ((0, vectors[:, -2]), (1, vectors[:, -3])):
+        assert abs(abs(np.dot(got[:, axis], v)) - np.linalg.norm(got[:, axis])) < 1e-2
+
+
+def test_components_are_placed_by_their_means_or_links(spark):
+    ids = list(range(18))
+    part = spark.createDataFrame([(k, k // 3 * 3) for k in ids], "id long, part long")
+    sizes = part.groupBy("part").agg(F.count("*").alias("n"))
+    far = {0: 0.0, 3: 0.1, 6: 0.2, 9: 2.0, 12: 2.1, 15: 2.2}
+    points = spark.createDataFrame([(k, [far[k // 3 * 3], 0.0, 0.0]) for k in ids], "id long, features array<double>")
+    links = spark.createDataFrame([(a, b, abs(far[a] - far[b])) for a in far for b in far if a != b], "row long, col long, dist double")
+    for how in ({"points": points}, {"distances": links}):
+        at = {r["part"]: (r["px"], r["py"]) for r in layout.component_places(sizes, part, **how).collect()}
+        gap = lambda a, b: np.hypot(at[a][0] - at[b][0], at[a][1] - at[b][1])
+        assert max(gap(0, 3), gap(3, 6), gap(9, 12), gap(12, 15)) < min(gap(0, 9), gap(6, 12), gap(3, 15))
+    drawn = layout.component_places(sizes, part).collect()
+    assert len(drawn) == 6 and all(-1 <= r["px"] <= 1 and r["span"] > 0 for r in drawn)
+
+
+def test_neighbours_are_cut_to_what_there_is(spark):
+    rows = spark.range(9).select("id", F.array(*[F.rand(k).cast("float") for k in range(3)]).alias("features"))
+    assert hierarchy.umap(rows, Params(n_neighbors=50, n_epochs=3, init="Spectral")).count() == 9
+    with pytest.raises(ValueError, match="fewer than 3"):
+        nn.precomputed(spark.createDataFrame([(0, 0, 0.0), (0, 1, 1.0)], "row long, col long, dist double"), 3)
+
+
+def test_unknown_pairs_are_one_apart(spark):
+    data = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5), (2, 9, 0.1), (3, 0, 0.2), (3, 1, 1.0), (3, 3, 0.4)], "row long, col long, val double")
+    nodes = spark.createDataFrame([(0,), (1,), (2,), (3,)], "id long")
+    got = {(r["q"], r["rank"]): (r["c"], r["dist"]) for r in drill.padded_neighbors(data, nodes, 3).collect()}
+    assert [got[0, k] for k in range(3)] == [(1, 0.5), (0, 1.0), (2, 1.0)]
+    assert [got[2, k] for k in range(3)] == [(2, 1.0), (0, 1.0), (1, 1.0)]
+    assert [got[3, k] for k in range(3)] == [(0, 0.2), (3, 0.4), (1, 1.0)]
+
+
 def test_padding_by_hand(spark):
     hoods = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)], "slot long, pt long")
     marks = spark.createDataFrame([(0, 10), (1, 11), (2, 12)], "slot long, id long")
