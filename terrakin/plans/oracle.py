@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from terrakin.functions.curve import find_ab
+from terrakin.operators import metrics
 from terrakin.plans.queries import CLASSES, PARAMS
 
 K, SEED = PARAMS.n_neighbors, PARAMS.seed
@@ -109,9 +110,13 @@ L2 = [*L1, marks(1), similarity(1), bands(2)]
 POINTS2 = "p2 AS (SELECT b.slot, a.id AS orig_id, label FROM lm1 b JOIN lm0 a ON a.slot = b.id JOIN pts ON pts.id = a.id)"
 IN = ", ".join(map(str, CLASSES))
 PLANE = "pl AS MATERIALIZED (SELECT vec_id::BIGINT AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+SAMPLE = f"smp AS MATERIALIZED (SELECT * FROM pts ORDER BY {uniform(f'{chr(39)}{SEED}|sample{chr(39)}', 'id')}, id LIMIT {metrics.SAMPLE})"
 PAIRS = f"""pairs AS MATERIALIZED (
     SELECT a.id AS q, b.id AS c, {D} AS high, sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y)) AS low
-    FROM pts a JOIN pts b ON a.id < b.id JOIN pl u ON u.id = a.id JOIN pl v ON v.id = b.id)"""
+    FROM smp a JOIN smp b ON a.id < b.id JOIN pl u ON u.id = a.id JOIN pl v ON v.id = b.id)"""
+PARTS = """ln AS (SELECT q AS a, c AS b FROM knn0 WHERE rank = 1 UNION SELECT c, q FROM knn0 WHERE rank = 1),
+    rc AS (SELECT a AS node, a AS seen FROM ln UNION SELECT rc.node, ln.b FROM rc JOIN ln ON ln.a = rc.seen),
+    parts AS MATERIALIZED (SELECT node, min(seen) AS root FROM rc GROUP BY node)"""
 GENES = """genes AS MATERIALIZED (
     SELECT batch, cell, gene, count(*) AS n FROM (SELECT coalesce(source, '') AS batch, doc_id AS cell, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS gene FROM documents) GROUP BY ALL)"""
 SIZES = "sizes AS (SELECT batch, cell, sum(n)::BIGINT AS size FROM genes GROUP BY batch, cell)"
@@ -172,14 +177,39 @@ ORACLE_SQL = {
         m AS (SELECT q AS i, c AS j, a.x - b.x AS dx, a.y - b.y AS dy FROM knn0 JOIN pl a ON a.id = q JOIN pl b ON b.id = c WHERE rank > 0),
         k AS (SELECT *, CASE WHEN d2 > 0 THEN -2 * {A}::DOUBLE * {B}::DOUBLE * pow(d2, {B}::DOUBLE - 1) / ({A}::DOUBLE * pow(d2, {B}::DOUBLE) + 1) ELSE 0 END AS co FROM (SELECT *, dx * dx + dy * dy AS d2 FROM m))
         SELECT i, j, round(greatest(-4, least(4, co * dx)), 6) AS gx, round(greatest(-4, least(4, co * dy)), 6) AS gy FROM k""",
-    "metric_stress": f"{chain(PTS, PLANE, PAIRS)} SELECT round(sqrt(sum((low / l - high / h) ** 2) / sum((high / h) ** 2)), 6) AS stress FROM pairs, (SELECT max(high) AS h, max(low) AS l FROM pairs)",
-    "metric_spearman": f"""{chain(PTS, PLANE, PAIRS)},
-        f AS (SELECT high * high AS h, low * low AS l FROM pairs UNION ALL SELECT high * high, low * low FROM pairs UNION ALL SELECT 0, 0 FROM pts),
+    "metric_stress": f"{chain(PTS, PLANE, SAMPLE, PAIRS)} SELECT round(sqrt(sum((low / l - high / h) ** 2) / sum((high / h) ** 2)), 6) AS stress FROM pairs, (SELECT max(high) AS h, max(low) AS l FROM pairs)",
+    "metric_spearman": f"""{chain(PTS, PLANE, SAMPLE, PAIRS)},
+        f AS (SELECT high * high AS h, low * low AS l FROM pairs UNION ALL SELECT high * high, low * low FROM pairs UNION ALL SELECT 0, 0 FROM smp),
         r AS (SELECT rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2.0::DOUBLE AS rh, rank() OVER (ORDER BY l) + (count(*) OVER (PARTITION BY l) - 1) / 2.0::DOUBLE AS rl FROM f)
         SELECT round(corr(rh, rl), 6) AS correlation FROM r""",
-    "metric_np": f"""{chain(PTS, PLANE, "pf AS (SELECT id, [x, y] AS f FROM pl)", nearest("hi", "pts", 31), nearest("lo", "pf", 31))},
+    "metric_procrustes": f"""{chain(PTS)},
+        p AS (SELECT f[1] AS a, f[2] AS b, f[3] AS c, f[4] AS d FROM pts),
+        m AS (SELECT regr_sxx(a, a) + regr_sxx(b, b) AS na, regr_sxx(c, c) + regr_sxx(d, d) AS nb, regr_sxy(a, c) AS ac, regr_sxy(a, d) AS ad, regr_sxy(b, c) AS bc, regr_sxy(b, d) AS bd FROM p)
+        SELECT round(1 - (ac * ac + ad * ad + bc * bc + bd * bd + 2 * abs(ac * bd - ad * bc)) / (na * nb), 6) AS disparity FROM m""",
+    "knn_recall": "SELECT TRUE AS enough",
+    "layout_quality": "SELECT count(*) AS placed, TRUE AS finite, TRUE AS beats_pca FROM embeddings",
+    "graph_components": f"{chain(*L0[:2], PARTS)} SELECT node, root FROM parts",
+    "component_centroids": f"{chain(*L0[:2], PARTS)} SELECT root AS part, (k - 1)::INT AS at, round(avg(f[k]), 6) AS mean FROM parts JOIN pts ON id = node, range(1, 65) r(k) GROUP BY 1, 2",
+    "component_linkage": f"""{chain(*L0[:2], PARTS)}
+        SELECT least(a.root, b.root) AS a, greatest(a.root, b.root) AS b, round(min(dist), 6) AS dist
+        FROM knn0 JOIN parts a ON a.node = q JOIN parts b ON b.node = c WHERE rank > 0 AND a.root <> b.root GROUP BY 1, 2""",
+    "sgd_push": f"""{chain(*L0[:2], PLANE)},
+        pos AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM pl), n AS (SELECT count(*) AS n FROM pl),
+        m AS (SELECT q AS i, c AS j, md5('{SEED}|neg|1|' || q || '|' || c) AS h FROM knn0 WHERE rank > 0),
+        t AS (SELECT i, j, draw::INT AS draw, ((('0x' || substr(h, 1, 15))::BIGINT % n + draw * (('0x' || substr(h, 16, 15))::BIGINT % n)) % n) AS pos FROM m, n, range(5) r(draw)),
+        u AS (SELECT i, j, draw, b.id AS k, a.x - b.x AS dx, a.y - b.y AS dy FROM t JOIN pos b USING (pos) JOIN pl a ON a.id = i WHERE i <> b.id),
+        w AS (SELECT *, CASE WHEN d2 > 0 THEN 2 * {B}::DOUBLE / ((0.001::DOUBLE + d2) * ({A}::DOUBLE * pow(d2, {B}::DOUBLE) + 1)) ELSE 0 END AS co FROM (SELECT *, dx * dx + dy * dy AS d2 FROM u))
+        SELECT i, j, draw, k, round(CASE WHEN co > 0 THEN greatest(-4, least(4, co * dx)) ELSE 4 END, 6) AS gx, round(CASE WHEN co > 0 THEN greatest(-4, least(4, co * dy)) ELSE 4 END, 6) AS gy FROM w""",
+    "drill_padded_knn": f"""{chain(*L1, marks(1), ownership(1), POINTS2)},
+        v AS (SELECT "row", col, arg_max(dist, o) AS val FROM (
+          SELECT "row", col, dist, {{'r': "row", 'c': col}} AS o FROM ds0 UNION ALL SELECT col, "row", dist, {{'r': "row", 'c': col}} FROM ds0) GROUP BY "row", col),
+        s AS (SELECT DISTINCT id FROM o1 WHERE owner_slot IN (SELECT slot FROM p2 WHERE label IN ({IN}))),
+        d AS (SELECT a.id AS q, b.id AS c, coalesce(v.val, 1.0) AS dist FROM s a CROSS JOIN s b LEFT JOIN v ON v."row" = a.id AND v.col = b.id)
+        SELECT q, rank, c, round(dist, 6) AS dist FROM (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY dist, (q <> c)::INT, c) - 1)::INT AS rank FROM d) WHERE rank < {K}""",
+    "drill_correspondence": f"{chain(*L1, marks(1), POINTS2)} SELECT lm1.slot, lm1.id, row_number() OVER (ORDER BY lm1.slot) - 1 AS place FROM lm1 JOIN p2 USING (slot) WHERE label IN ({IN})",
+    "metric_np": f"""{chain(PTS, PLANE, SAMPLE, "pf AS (SELECT id, [x, y] AS f FROM pl WHERE id IN (SELECT id FROM smp))", nearest("hi", "smp", 31), nearest("lo", "pf", 31))},
         m AS (SELECT greatest(a.rank, b.rank) AS o FROM hi a JOIN lo b USING (q, c) WHERE a.rank > 0 AND b.rank > 0)
-        SELECT (k - 1)::INT AS neighbors, round((SELECT count(*) FROM m WHERE o <= k) / ((SELECT count(*) FROM pts) * k)::DOUBLE, 6) AS np FROM range(1, 31) r(k)""",
+        SELECT (k - 1)::INT AS neighbors, round((SELECT count(*) FROM m WHERE o <= k) / ((SELECT count(*) FROM smp) * k)::DOUBLE, 6) AS np FROM range(1, 31) r(k)""",
     "library_size_filter": f"""{chain(GENES, SIZES)},
         a AS (SELECT s.* FROM sizes s JOIN (SELECT batch, quantile_cont(size, 0.2) AS cut FROM sizes GROUP BY batch) USING (batch) WHERE size > cut)
         SELECT a.* FROM a JOIN (SELECT batch, quantile_cont(size, 0.75) AS cut FROM a GROUP BY batch) USING (batch) WHERE size < cut""",
@@ -189,18 +219,22 @@ ORACLE_SQL = {
         h AS (SELECT batch, cell, sum(CASE WHEN starts_with(gene, 'th') THEN n ELSE 0 END)::BIGINT AS held FROM genes GROUP BY batch, cell)
         SELECT * FROM h WHERE held < (SELECT quantile_cont(held, 0.9) FROM h)""",
     "label_encode": "SELECT lang, doc_id, CASE WHEN lang IS NULL THEN NULL ELSE dense_rank() OVER (ORDER BY lang NULLS LAST) - 1 END::BIGINT AS code FROM documents",
-    "batch_union": "SELECT doc_id, source, lang AS batch FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')",
-    "sparse_symmetric": """WITH e AS (SELECT vec_id AS "row", (k - 1)::BIGINT AS col, embedding[k]::DOUBLE AS val FROM embeddings, range(1, 65) r(k) WHERE vec_id < 64 AND embedding[k] <> 0)
+    "batch_union": "SELECT doc_id, source, lang AS batch FROM documents WHERE lang IS NOT NULL",
+    "sparse_symmetric": """WITH e AS (SELECT vec_id AS "row", (k - 1)::BIGINT AS col, embedding[k]::DOUBLE AS val FROM embeddings, range(1, 65) r(k) WHERE embedding[k] <> 0)
         SELECT "row", col, round(arg_max(val, o), 6) AS val FROM (
           SELECT "row", col, val, {'r': "row", 'c': col} AS o FROM e UNION ALL SELECT col, "row", val, {'r': "row", 'c': col} FROM e) GROUP BY "row", col""",
     "sparse_rows": """SELECT vec_id AS "row", count(*) AS n, (min(k) - 1)::INT AS first_col, (max(k) - 1)::INT AS last_col FROM embeddings, range(1, 65) r(k) WHERE embedding[k] <> 0 GROUP BY vec_id""",
-    "dense_rows": """SELECT vec_id AS "row", (k - 1)::INT AS col, round(CASE WHEN embedding[k] > 0 THEN embedding[k]::DOUBLE ELSE 0 END, 6) AS val FROM embeddings, range(1, 65) r(k) WHERE len(list_filter(embedding, lambda x: x > 0)) > 0""",
-    "gather_by_index": "SELECT a.vec_id AS pos, b.vec_id AS id, b.label FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % 500",
+    "dense_rows": f"""{chain(*L1, marks(1), similarity(1))},
+        v AS (SELECT "row", col, arg_max(dist, o) AS val FROM (
+          SELECT "row", col, dist, {{'r': "row", 'c': col}} AS o FROM ds1 UNION ALL SELECT col, "row", dist, {{'r': "row", 'c': col}} FROM ds1) GROUP BY "row", col),
+        n AS (SELECT count(*) AS n FROM lm1)
+        SELECT a."row", c.col::INT AS col, round(coalesce(v.val, 0), 6) AS val FROM (SELECT DISTINCT "row" FROM v) a, (SELECT unnest(range(n)) AS col FROM n) c LEFT JOIN v ON v."row" = a."row" AND v.col = c.col""",
+    "gather_by_index": "SELECT a.vec_id AS pos, b.vec_id AS id, b.label FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)",
     "param_grid": "SELECT a.x AS n_neighbors, b.x AS distance_similarity, c.x AS influence_nw, d.x AS influence_wl FROM (VALUES (15::BIGINT), (100)) a(x), (VALUES (FALSE), (TRUE)) b(x), (VALUES (10::BIGINT), (20), (30), (40)) c(x), (VALUES (5::BIGINT), (10), (20), (30), (40), (50), (60), (70)) d(x)",
     "nearest_level": """WITH s AS (SELECT 0 AS level, count(*) AS size FROM embeddings), t AS (SELECT 1 AS level, floor(0.2::FLOAT * size::FLOAT)::BIGINT AS size FROM s), u AS (SELECT 2 AS level, floor(0.2::FLOAT * size::FLOAT)::BIGINT AS size FROM t)
         SELECT level FROM (SELECT * FROM s UNION ALL SELECT * FROM t UNION ALL SELECT * FROM u) ORDER BY abs(size - 70), level LIMIT 1""",
     "sample_n": f"SELECT vec_id AS id, label FROM embeddings ORDER BY {uniform(f'{chr(39)}{SEED}|sample{chr(39)}', 'vec_id')}, vec_id LIMIT 100",
     "train_split": f"SELECT vec_id AS id, CASE WHEN {uniform(f'{chr(39)}{SEED}|split{chr(39)}', 'vec_id')} < 0.8 THEN 'train' ELSE 'test' END AS part FROM embeddings",
     "l2_normalize": f"""{chain(PTS)} SELECT id, (k - 1)::INT AS col, round(f[k] / sqrt(list_sum(list_transform(f, lambda x: x * x))), 6) AS val FROM pts, range(1, 65) r(k)""",
-    "doc_lookup_join": f"{chain(*M0)} SELECT slot, id AS orig_id, label, source AS document FROM lm0 JOIN pts USING (id) JOIN documents ON doc_id = id",
+    "doc_lookup_join": f"{chain(*M0)} SELECT slot, id AS orig_id, label, text AS document FROM lm0 JOIN pts USING (id) JOIN documents ON doc_id = id",
 }

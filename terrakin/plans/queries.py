@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terrakin.functions.curve import find_ab
 from terrakin.operators import drill, fuzzy, knn as nn, landmarks as lm, layout, metrics, ownership, prep, tables, walks
+from terrakin.operators.components import components
+from terrakin.operators.index import numbered
 from terrakin.params import Params
 from terrakin.plans import hierarchy
 from terrakin.sources.readers import points
@@ -39,6 +41,11 @@ def model(spark: SparkSession, sf_dir: str) -> hierarchy.Model:
     return _models[key]
 
 
+def forget() -> None:
+    """The next question fits again."""
+    _models.clear()
+
+
 def pairwise_distance(spark, sf):
     return nn.pairwise(embeddings(spark, sf)).select("q", "c", r6("dist").alias("dist"))
 
@@ -56,6 +63,33 @@ def knn_approximate(spark, sf):
     return nn.approximate(embeddings(spark, sf), PARAMS.n_neighbors).select("q", "rank", "c", r6("dist").alias("dist"))
 
 
+def knn_recall(spark, sf):
+    p = materialize(embeddings(spark, sf), "recall_points")
+    found = nn.recall(nn.approximate(p, PARAMS.n_neighbors), nn.exact(p, PARAMS.n_neighbors))
+    return found.select((F.col("recall") >= 0.9).alias("enough"))
+
+
+def _nearest_only(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Neighbours, and the components that each point's nearest neighbour alone makes."""
+    knn = materialize(nn.exact(embeddings(spark, sf), PARAMS.n_neighbors), "knn")
+    return knn, components(knn.filter("rank = 1"), "q", "c")
+
+
+def graph_components(spark, sf):
+    return _nearest_only(spark, sf)[1]
+
+
+def component_centroids(spark, sf):
+    part = _nearest_only(spark, sf)[1].select(F.col("node").alias("id"), F.col("root").alias("part"))
+    return layout.centroids(embeddings(spark, sf), part).select("part", "at", r6("mean").alias("mean"))
+
+
+def component_linkage(spark, sf):
+    knn, parts = _nearest_only(spark, sf)
+    near = knn.filter("rank > 0").select(F.col("q").alias("row"), F.col("c").alias("col"), "dist")
+    return layout.linkage(near, parts.select(F.col("node").alias("id"), F.col("root").alias("part"))).select("a", "b", r6("dist").alias("dist"))
+
+
 def _edges(spark, sf) -> tuple[DataFrame, DataFrame]:
     knn = materialize(nn.exact(embeddings(spark, sf), PARAMS.n_neighbors), "knn")
     bands = fuzzy.smooth(knn, PARAMS.n_neighbors)
@@ -178,6 +212,14 @@ def focus_context_graph(spark, sf):
     return both.select("role", "i", "j", r6("w").alias("w"))
 
 
+def drill_padded_knn(spark, sf):
+    return model(spark, sf).padded_neighbors(2, PARAMS.n_neighbors, labels=CLASSES).select("q", "rank", "c", r6("dist").alias("dist"))
+
+
+def drill_correspondence(spark, sf):
+    return model(spark, sf).correspondence(2, labels=CLASSES)
+
+
 def drill_layout(spark, sf):
     return model(spark, sf).drill(2, labels=CLASSES, focus_context=True)
 
@@ -202,6 +244,13 @@ def sgd_edge_gradient(spark, sf):
     return layout.edge_gradient(_plane(spark, sf), edges, a, b).select("i", "j", r6("gx").alias("gx"), r6("gy").alias("gy"))
 
 
+def sgd_push(spark, sf):
+    a, b = find_ab(PARAMS.spread, PARAMS.min_dist)
+    edges = nn.exact(embeddings(spark, sf), PARAMS.n_neighbors).filter("rank > 0").select(F.col("q").alias("i"), F.col("c").alias("j"))
+    places = materialize(numbered(_plane(spark, sf), ["id"], "pos"), "push_places")
+    return layout.push_gradient(places, edges, a, b, 1, PARAMS.seed).select("i", "j", "draw", "k", r6("gx").alias("gx"), r6("gy").alias("gy"))
+
+
 def spectral_init(spark, sf):
     at = model(spark, sf).levels[0]
     return layout.spectral_init(at.graph, at.points.select(F.col("slot").alias("id")))
@@ -220,6 +269,18 @@ def umap_flat(spark, sf):
     return hierarchy.umap(embeddings(spark, sf), Params(n_neighbors=15, n_epochs=200, init="Spectral"))
 
 
+def layout_quality(spark, sf):
+    """How the flat layout holds up: every point placed once, all finite, and more of a point's
+    15 nearest kept than by the two main components."""
+    p = materialize(_sample(spark, sf), "quality_points")
+    made = materialize(umap_flat(spark, sf).select(F.col("slot").alias("id"), F.array("x", "y").alias("features")), "quality_layout")
+    flat = prep.pca(p, 2).select("id", "features")
+    high = materialize(nn.exact(p, 16), "quality_high")
+    kept = lambda low: metrics.neighborhood_preservation(high, materialize(nn.exact(low, 16), "quality_low"), 15).filter("neighbors = 14").first()["np"]
+    whole = made.agg(F.count_distinct("id").alias("placed"), F.every(F.forall("features", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))).alias("finite"))
+    return whole.select("placed", "finite", F.lit(kept(made.join(p.select("id"), "id")) > kept(flat)).alias("beats_pca"))
+
+
 def _sample(spark, sf) -> DataFrame:
     return tables.sampled(embeddings(spark, sf), metrics.SAMPLE, PARAMS.seed)
 
@@ -274,13 +335,15 @@ def label_encode(spark, sf):
 
 
 def batch_union(spark, sf):
-    docs = table(spark, sf, "documents")
-    parts = {name: docs.filter(F.col("lang") == name).select("doc_id", "source") for name in ("en", "de", "fr", "es")}
-    return prep.batch_union(parts)
+    docs = table(spark, sf, "documents").filter("lang is not null")
+    names = [r["lang"] for r in docs.select("lang").distinct().limit(1_001).collect()]
+    if len(names) > 1_000:
+        raise ValueError("batches are a few named tables")
+    return prep.batch_union({name: docs.filter(F.col("lang") == name).select("doc_id", "source") for name in names})
 
 
 def sparse_symmetric(spark, sf):
-    entries = tables.coo(embeddings(spark, sf)).filter("row < 64").select("row", F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val"))
+    entries = tables.coo(embeddings(spark, sf)).select("row", F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val"))
     return tables.symmetric(entries).select("row", "col", r6("val").alias("val"))
 
 
@@ -290,13 +353,16 @@ def sparse_rows(spark, sf):
 
 
 def dense_rows(spark, sf):
-    back = tables.dense_rows(tables.coo(embeddings(spark, sf)).filter("val > 0").withColumn("val", F.col("val").cast("double")), 64)
+    """Of the level's sparse distances: what no entry holds is 0."""
+    m = model(spark, sf)
+    back = tables.dense_rows(m.get_data(2).withColumn("col", F.col("col").cast("int")), m.levels[2].points.count())
     return back.select("row", F.posexplode("features").alias("col", "val")).select("row", "col", r6("val").alias("val"))
 
 
 def gather_by_index(spark, sf):
     p = embeddings(spark, sf)
-    wanted = p.select((F.pmod(F.col("id") * 7 + 3, F.lit(500))).alias("id"), F.col("id").alias("pos"))
+    n = p.count()
+    wanted = p.select(F.pmod(F.col("id") * 7 + 3, F.lit(n)).alias("id"), F.col("id").alias("pos"))
     return tables.gathered(p.select("id", "label"), wanted, "id").select("pos", "id", "label")
 
 
@@ -328,11 +394,14 @@ def l2_normalize(spark, sf):
 
 def doc_lookup_join(spark, sf):
     m = model(spark, sf)
-    return tables.linked(m.levels[1].points, table(spark, sf, "documents"), "doc_id", "source").select("slot", "orig_id", "label", "document")
+    return tables.linked(m.levels[1].points, table(spark, sf, "documents"), "doc_id", "text").select("slot", "orig_id", "label", "document")
 
 
 def pca_2(spark, sf):
-    return prep.pca(embeddings(spark, sf), 2).select("id", F.size("features").alias("dims"))
+    """Places on the two main axes, whose signs are free, as distances from the middle."""
+    parts = materialize(prep.pca(embeddings(spark, sf), 2).select("id", F.col("features")[0].alias("a"), F.col("features")[1].alias("b")), "pca_parts")
+    mean = parts.agg(F.avg("a").alias("a"), F.avg("b").alias("b")).first()
+    return parts.select("id", *[F.round(F.abs(F.col(c) - mean[c]), 4).alias(f"off_{c}") for c in "ab"])
 
 
 def kmeans_selection(spark, sf):
@@ -340,11 +409,11 @@ def kmeans_selection(spark, sf):
 
 
 _NAMES = [
-    pairwise_distance, knn_exact, knn_label_agreement, knn_approximate, smooth_knn, membership, transition, fuzzy_graph, pruned_graph, epochs_per_sample,
+    pairwise_distance, knn_exact, knn_label_agreement, knn_approximate, knn_recall, graph_components, component_centroids, component_linkage, smooth_knn, membership, transition, fuzzy_graph, pruned_graph, epochs_per_sample,
     walk_endpoints, landmarks_l1, neighborhood_l1, local_neighborhood_l1, landmark_distance_l1, landmark_data_l1, knn_l1, fuzzy_graph_l1,
     ownership_l0, association_l0, count_influence, owned_count, influence_l1, influence_l2, labels_l2, original_indices_l2, owner_slots_l1,
-    drill_members_by_class, drill_members_by_index, drill_subgraph, focus_context_graph, drill_layout,
-    random_init, fixed_rescale, sgd_edge_gradient, spectral_init, embed_level, embed_with_fixed, umap_flat,
+    drill_members_by_class, drill_members_by_index, drill_subgraph, focus_context_graph, drill_padded_knn, drill_correspondence, drill_layout,
+    random_init, fixed_rescale, sgd_edge_gradient, sgd_push, spectral_init, embed_level, embed_with_fixed, umap_flat, layout_quality,
     metric_stress, metric_spearman, metric_np, metric_procrustes,
     library_size_filter, rare_gene_filter, lib_norm_sqrt, prefix_filter, label_encode, batch_union,
     sparse_symmetric, sparse_rows, dense_rows, gather_by_index, param_grid, nearest_level, sample_n, train_split, l2_normalize, doc_lookup_join, pca_2, kmeans_selection,
