@@ -12,7 +12,8 @@ The loss mask stands beside the text as runs over its code points: for each turn
 to skip and how many to learn from (the text of assistant turns).
 
 Defined results: turns follow ``turn``, then role and text; null roles and texts are empty;
-a null turn number comes first; repeated rows are repeated turns; rows without a
+a null turn number comes first; repeated rows are repeated turns; very long texts stay whole
+(a conversation has to fit into one string, so 2 GB end it with an error); rows without a
 conversation id form one conversation with a null id; extra columns are ignored; an empty
 table gives an empty result. One conversation is one row of the output, so it is gathered
 whole by definition; nothing else is.

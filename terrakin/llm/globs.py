@@ -13,8 +13,9 @@ the end. A site rule ``host/path`` fits its host and all subdomains where the pa
 with the rule's; the longest fitting rule decides (ties: the smaller text), else the
 verdict is ``block`` if a block glob fits and ``allow`` otherwise.
 
-Defined results: null urls and urls without ``://`` have an empty host and path; repeated
-rows stay repeated; a null id keeps its row; extra columns are ignored; an empty table
+Defined results: null urls and urls without ``://`` have an empty host and path; very long
+urls are run to their end; of globs that fit the first given is named; repeated rows stay
+repeated; a null id keeps its row; extra columns are ignored; an empty table
 gives an empty result.
 """
 

@@ -10,7 +10,8 @@ reassembled from the lacing values over page borders, pages are dealt to their l
 streams by serial number, and timestamps of all sample pages come from the granule positions,
 which must be the samples so far, and the rate in the header packet. Anything else raises ``OggError``.
 
-Defined results: null and empty texts give ``ALIGN`` zero bytes; equal texts give equal
+Defined results: null and empty texts give ``ALIGN`` zero bytes; very long texts are one file
+of as many pages as they need (a file has to fit into one binary value); equal texts give equal
 files (serial numbers come from the payload); repeated rows stay repeated; a null id keeps
 its row; extra columns are ignored; an empty table gives an empty result; a null media
 value reads as nulls.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -65,7 +67,8 @@ def _pages(packets: list[tuple[bytes, int]], serial: int) -> list[bytes]:
         for a in range(0, len(lacing), 255):
             part = bytes(lacing[a : a + 255])
             b, size = a + len(part), sum(part)
-            granule = ends[max((m for m in marks if a < m <= b), default=0)] if any(a < m <= b for m in marks) else -1
+            last = marks[max(0, bisect_right(marks, b) - 1)]  # the last packet's end up to here
+            granule = ends[last] if a < last <= b else -1
             flags = (BOS if seq == 0 else 0) | (CONTINUED if a and lacing[a - 1] == 255 else 0) | (EOS if seq and b == len(lacing) else 0)
             out.append(_page(flags, granule, serial, seq, part, body[at : at + size]))
             at, seq = at + size, seq + 1

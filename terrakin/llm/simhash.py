@@ -26,8 +26,9 @@ Buckets of at most ``PAIRED`` sets compare all pairs; in larger ones each member
 with ``HUBS`` others, so a link there can be missed where no chain of links joins the two.
 
 Defined results: null and empty texts have no shingles and fingerprint 0, linked like any
-other; fewer words than the shingle length make one shingle of all words; repeated rows
-stay repeated; a null id keeps its row and never names a component unless no other id
+other; fewer words than the shingle length make one shingle of all words; very long texts are
+hashed whole, in blocks of shingles; a bit that exactly half of the shingles set is 0; repeated
+rows stay repeated; a null id keeps its row and never names a component unless no other id
 does; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -39,13 +40,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from terrakin.llm.common import components, materialize
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BUCKET = 2 * 65 + 1
 BLOCK = 1 << 15  # shingles counted at once: bounds memory on very long texts
+ROW = "row struct<a:long,b:long>"
 BANDS, ROWS, PAIRED, HUBS = 32, 6, 32, 4
 _DRAWN = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
 FACTORS, SHIFTS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
@@ -90,6 +92,12 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of hash of a whole row, nulls and their places included."""
+    parts = [p for c in docs.columns for p in (F.col(c), F.col(c).isNull())]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp): one row per input row; fp is the fingerprint as a signed long."""
 
@@ -169,7 +177,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _firsts(docs: DataFrame, id_col: str, rooted: DataFrame) -> DataFrame:
     """The row of ``docs`` that is the least ``first`` of each ``root``."""
-    whole = F.xxhash64(*[F.col(c) for c in docs.columns])
+    whole = row_key(docs)
     key = ["own_row", "own_id", "unnamed"]
     kept = rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.row").alias("own_row"), F.col("f.id").alias("own_id"), F.col("f.unnamed").alias("unnamed"))
     named = F.col(id_col).cast("long")
@@ -183,7 +191,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` that stay when one document of each group is kept: the row with
     the smallest (id, hash of the row), null ids last. Columns are unchanged. The choice goes by
     partial minima, so a group of copies is never gathered into one task."""
-    whole = F.xxhash64(*[F.col(c) for c in docs.columns])
+    whole = row_key(docs)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), whole.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +199,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = np.fromiter((fingerprint(t.as_py(), how.get("words", 3), how.get("seed", 42)) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], ["id", "row", "fp"])
 
-    marked = materialize(keyed.mapInArrow(run, "id long, row long, fp long"), "simhash_rows")
+    marked = materialize(keyed.mapInArrow(run, f"id long, {ROW}, fp long"), "simhash_rows")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), F.col("row")))
     fps = materialize(marked.groupBy("fp").agg(first.alias("first")), "simhash_firsts")
     labels = components(links(fps.select("fp"), how.get("tau", 2), how.get("m", 9), how.get("bucket", BUCKET)), "a", "b")
@@ -226,7 +234,7 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, permil
     asked = near.select(F.col("a").alias("body")).union(near.select(F.col("b").alias("body"))).distinct()
     asked = asked.join(nodes.select("body", F.col("first.id").alias("own_id"), F.col("first.unnamed").alias("unnamed"), F.col("first.row").alias("own_row")), "body")
     named = F.col(id_col).cast("long")
-    texts = docs.select(F.coalesce(named, F.lit(0)).alias("own_id"), named.isNull().alias("unnamed"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("own_row"), F.col(text_col).alias("t"))
+    texts = docs.select(F.coalesce(named, F.lit(0)).alias("own_id"), named.isNull().alias("unnamed"), row_key(docs).alias("own_row"), F.col(text_col).alias("t"))
     found = texts.join(asked, ["own_id", "unnamed", "own_row"]).dropDuplicates(["body"]).select("body", "t")
     sets = materialize(found.mapInArrow(run, "body long, grams array<long>"), "simhash_sets")
     met = near.join(sets.select(F.col("body").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("body").alias("b"), F.col("grams").alias("gb")), "b")
@@ -238,7 +246,7 @@ def unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """The rows of ``docs`` that stay when one of each group of texts is kept whose sets of
     shingles are alike in ``permille`` thousandths or more; the choice is that of
     ``representatives``."""
-    whole = F.xxhash64(*[F.col(c) for c in docs.columns])
+    whole = row_key(docs)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), whole.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +258,7 @@ def unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                 size.append(len(own)), keys.append(bands(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(body.view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "body", "size", "keys"])
 
-    marked = keyed.mapInArrow(run, "id long, row long, body long, size long, keys array<long>")
+    marked = keyed.mapInArrow(run, f"id long, {ROW}, body long, size long, keys array<long>")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), F.col("row")))
     nodes = materialize(marked.groupBy("body").agg(first.alias("first"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "simhash_bodies")
     labels = components(_alike(docs, id_col, text_col, nodes, permille, words, seed), "a", "b")
