@@ -79,6 +79,29 @@ def test_toxicity_learns_whole_texts_and_every_passage(spark):
     assert model.score(" ".join(calm[:50]) + " " + " ".join(insults[:30])) > 0.5 > model.score(" ".join(calm[:50]))
 
 
+def test_toxicity_scores_by_hand():
+    """Two dictionaries, windows of eight words, and a logistic curve of what they save."""
+    import zstandard
+
+    rng = random.Random(2)
+    calm = [f"calm{k}" for k in range(200)]
+    body = lambda n: " ".join(rng.choices(calm, k=n))
+    model = toxicity.train([body(90) + " swamp rat swine " + body(40) for _ in range(60)] + [body(130) for _ in range(120)], [1] * 60 + [0] * 120)
+    assert all(w in model.toxic for w in (b" swamp", b" rat", b" swine")) and model.toxic.endswith(model.plain) and b"swine" not in model.plain
+    how = zstandard.ZstdCompressionParameters.from_level(9, min_match=4, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_dict_id=0, write_checksum=0)
+    packers = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for d in (model.plain, model.toxic)]
+    for text in (body(70) + " You swamp RAT", "swamp", body(9), "x" * 3_000, "\u00dc Swine"):
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text).encode().split()
+        cut = [b" ".join(words[k : k + 8]) for k in range(0, len(words), 8)]
+        cut = [w[k : k + 1024] for w in cut for k in range(0, len(w), 1024)]
+        saved = [len(packers[0].compress(w)) - len(packers[1].compress(w)) for w in cut]
+        n = len(saved)
+        x = [math.log(sum(math.exp(min(v, 40) / 2) for v in saved) / n), max(saved), math.log1p(sum(max(v - 3, 0) for v in saved)), sum(saved) / n, sum(v >= 2 for v in saved) / n]
+        z = model.curve[0] + sum(a * b for a, b in zip(model.curve[1:], x))
+        assert math.isclose(model.score(text), 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+    assert model.score(None) == model.score("") == 1 / (1 + math.exp(-model.curve[0]))
+
+
 def test_toxicity_edges(spark, odd, empty):
     model = toxicity.train(["you foul swamp rat, be gone " * 3] * 80 + ["the quiet river runs to the sea " * 3] * 80, [1] * 80 + [0] * 80)
     got = toxicity.scored(odd, model)
@@ -110,6 +133,31 @@ def test_mixing_gives_shortages_to_siblings_first(spark):
     assert got == {("a", "x"): 10, ("a", "y"): 492, ("b", "x"): 503} or sum(got.values()) == 1005 and got["a", "x"] == 10 and abs(got["b", "x"] - 502) <= 1
 
 
+def test_mixing_floors_count_towards_the_targets(spark):
+    leaves = spark.createDataFrame([("a", "x", "s", 700), ("a", "x", "t", 100), ("b", "x", "s", 200)], "domain string, lang string, source string, tokens long")
+    targets = mixing.Targets(max_epochs=8, budget_permille=1000, floor_epochs=1)
+    got = {(r["domain"], r["source"]): r["budget"] + r["tokens"] for r in mixing.allocate(leaves, targets).collect()}
+    assert sum(got.values()) == 2000  # floor and budget; half to each domain, and in a half to each source
+    assert abs(got["b", "s"] - 1000) <= 2 and abs(got["a", "s"] - 700) <= 2 and abs(got["a", "t"] - 300) <= 4
+
+
+def test_mixing_cuts_the_last_document_at_a_token(spark):
+    texts = [f" w{k}a  w{k}b\tw{k}c\nw{k}d " for k in range(40)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)] + [(90, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mixed(df, mixing.Targets(budget_permille=593), F.lit("d"), length_col="n_chars").collect()
+    assert sum(len((r["text"] or "").split()) for r in got) == 160 * 593 // 1000
+    odd = [r for r in got if r["doc_id"] < 90 and r["text"] != texts[r["doc_id"]]]
+    assert len(odd) == 1 and texts[odd[0]["doc_id"]].startswith(odd[0]["text"]) and odd[0]["n_chars"] == len(odd[0]["text"])
+
+
+def test_mixing_of_rows_that_share_an_id(spark):
+    rows = [(None if k % 2 else 7, f"t{k} " * (1 + k % 5), "en", "s") for k in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.selection(df, mixing.Targets(budget_permille=500), F.lit("d")).toPandas()
+    assert len(got) == 10_000 and got.taken_tokens.sum() == got.n_tokens.sum() // 2
+    assert ((got.prefix_tokens > 0) & (got.prefix_tokens < got.n_tokens)).sum() <= 1
+
+
 def test_token_files(spark, odd, empty, tokenizer):
     manifest = tokenfile.write(odd, queries.vocabulary(), shard_tokens=1000)
     got = tokenfile.read(manifest).orderBy("start").collect()
@@ -135,20 +183,30 @@ def test_token_codes_of_every_width():
 def test_top_k_by_brute_force(spark):
     rng = random.Random(1)
     rows = [(k, [rng.choice([0.0, 0.0, rng.uniform(-1, 1)]) for _ in range(7)]) for k in range(300)]
-    rows += [(300, None), (301, [None] + [0.1] * 6), (302, [float("nan")] * 7), (None, [1.0] * 7), (350, [0.5, 0.5]), (7, rows[7][1])]
+    rows += [(300, None), (301, [None] + [0.1] * 6), (302, [float("nan")] * 7), (None, [1.0] * 7), (350, [0.5, 0.5]), (7, rows[7][1]), (50, rows[9][1])]
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "vec_id long, embedding array<float>, id string")
-    sound = {}
+    sound = []
     for k, v in rows:
         if k is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(256 * float(np.float32(x))) for x in v]
-            sound[k] = min(sound.get(k, w), w)
-    want = set()
-    for q in (k for k in sound if k % 50 == 0):
-        s = sorted((-sum(a * b for a, b in zip(sound[q], v)), k) for k, v in sound.items() if k != q)[:5]
-        want |= {(q, r + 1, k, -x) for r, (x, k) in enumerate(s)}
+            sound.append((k, [math.floor(256 * float(np.float32(x))) for x in v]))
+    want = []
+    for q in {k for k, _ in sound if k % 50 == 0}:
+        s = sorted((-sum(a * b for a, b in zip(own, v)), k) for name, own in sound if name == q for k, v in sound if k != q)[:5]
+        want += [(q, r + 1, k, -x) for r, (x, k) in enumerate(s)]
     got = topk.search(df.drop("id"), F.col("id") % 50 == 0)
-    assert {tuple(r) for r in got.collect()} == want
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    clash = topk.search(df.withColumns({"v": F.lit(1), "copy": F.lit(2), "qb": F.lit(3)}), F.col("id") % 50 == 0)
+    assert sorted(map(tuple, clash.collect())) == sorted(want)
     assert topk.search(df.drop("id").limit(0), F.col("id") % 50 == 0).isEmpty()
+    with pytest.raises(Exception, match="2\\*\\*63"):
+        topk.search(df.select("vec_id", F.transform("embedding", lambda x: x * F.lit(1e9)).alias("embedding")), F.col("id") % 50 == 0).collect()
+
+
+def test_top_k_of_repeated_ids_equals_the_sql(spark, tmp_path):
+    rows = [(0, [1.0, 0.5]), (1, [0.5, 0.25]), (1, [0.75, -0.5]), (2, [0.25, 1.0]), (0, [-1.0, 0.25])] + [(3, [0.5, 0.5])] * 9
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/e")
+    spark.read.parquet(f"{tmp_path}/e").toPandas().to_parquet(f"{tmp_path}/embeddings.parquet")
+    assert assert_same(queries.op4_exact_top_k(spark, str(tmp_path)), queries.ORACLE_SQL["op4_exact_top_k"], str(tmp_path)) == 5
 
 
 def test_chat_grammar(spark):
@@ -158,7 +216,7 @@ def test_chat_grammar(spark):
     out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int"))
     for r in out.collect():
         want = [(a or "", b or "") for c, _, a, b, _ in rows if c == r["conv_id"]]
-        assert [(t["role"], t["text"]) for t in r["turns"]] == want or sorted((t["role"], t["text"]) for t in r["turns"]) == sorted(want)
+        assert [(t["role"], t["text"]) for t in r["turns"]] == want
         at, learned = 0, []
         for run in r["loss_mask"]:
             at += run["skip"]
@@ -181,6 +239,53 @@ def test_ogg_round_trip_and_damage(spark, odd, empty):
             ogg.unpack(bad)
 
 
+def plain_ogg(data):
+    """Packets by stream of an Ogg file, read page by page with a bit-by-bit checksum."""
+    streams, open_, at = {}, {}, 0
+    while at < len(data):
+        assert data[at : at + 5] == b"OggS\0"
+        serial, lacing = data[at + 14 : at + 18], data[at + 27 : at + 27 + data[at + 26]]
+        end = at + 27 + len(lacing) + sum(lacing)
+        crc = 0
+        for byte in data[at : at + 22] + bytes(4) + data[at + 26 : end]:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+        assert crc == struct.unpack_from("<I", data, at + 22)[0]
+        body = at + 27 + len(lacing)
+        for size in lacing:
+            open_[serial] = open_.get(serial, b"") + data[body : body + size]
+            body += size
+            if size < 255:
+                streams.setdefault(serial, []).append(open_.pop(serial))
+        at = end
+    return streams
+
+
+def test_ogg_digests_by_an_independent_reader(spark):
+    rows = docs(spark).filter("length(text) < 900 or text is null").select("doc_id", "text")
+    media = {r["id"]: bytes(r["media"]) for r in ogg.to_media(rows).collect()}
+    got = {r["id"]: r for r in ogg.digests(ogg.from_media(ogg.to_media(rows))).collect()}
+    assert len(got) == rows.count() > 20
+    for r in rows.collect():
+        raw = (r["text"] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        streams = {p[0][:8]: p[1:] for p in plain_ogg(media[r["doc_id"]]).values()}
+        assert b"".join(streams[b"PCM     "]) == payload
+        g = got[r["doc_id"]]
+        assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (g["media_bytes"], g["media_sha256"]) == (len(media[r["doc_id"]]), hashlib.sha256(media[r["doc_id"]]).hexdigest())
+        f = json.loads(g["feature"])
+        assert (f["ms"], f["sum"], f["peak"], f["streams"]) == (len(payload) * 1000 // ogg.RATE, sum(payload), max(payload), 2)
+
+
+def test_ogg_of_nulls_and_nothing(spark):
+    stored = spark.createDataFrame([(1, None), (2, ogg.pack(bytes(64), 0))], "id long, media binary")
+    got = {r["id"]: r for r in ogg.from_media(stored).collect()}
+    assert got[1]["payload"] is None and got[1]["n_bytes"] is None and got[2]["n_bytes"] == 0
+    assert ogg.from_media(stored.limit(0)).isEmpty()
+
+
 def test_ogg_checks_and_times_every_page():
     payload = bytes(k * 7 % 256 for k in range(300_032))
     media = ogg.pack(payload, 300_000)
@@ -201,6 +306,18 @@ def test_ogg_checks_and_times_every_page():
                 ogg.unpack(media[:a] + page + media[b:])
 
 
+def test_chat_edges(spark):
+    kind = "conv_id long, turn long, role string, text string, source string, loss_mask string"
+    long = "word <|im_end|> " * 60_000
+    rows = [(1, 0, "assistant", long, "s", "m"), (None, 1, "assistant", "b", "s", "m"), (None, 0, "user", "a", "s", "m"), (2, None, None, None, None, None)]
+    got = {r["conv_id"]: r for r in chat.digests(chat.formatted(spark.createDataFrame(rows, kind))).collect()}
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert got[None]["n_turns"] == 2 and got[None]["turns_sha256"] == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest()
+    assert got[2]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest() and got[2]["loss_chars"] == 0
+    none = chat.formatted(spark.createDataFrame([], kind))
+    assert none.isEmpty() and chat.digests(none).isEmpty()
+
+
 def test_chat_loss_is_cut_by_the_mask(spark):
     rows = [(1, 0, "user", "hi \u00e9"), (1, 1, "assistant", "d\u00e9j\u00e0 <|im_end|> vu"), (1, 2, "assistant", "more"), (2, 0, "assistant", "plain"), (2, 1, "assistant", "")]
     chats = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -411,6 +528,61 @@ def test_pipeline_stage_by_stage(spark):
         assert stage(spark, d.limit(0), SF).columns == d.columns
 
 
+def test_pipeline_mixes_to_the_token_and_encodes_every_row(spark, tokenizer):
+    d = docs(spark)
+    three = corpus_pipeline.mixing_stage(spark, d, SF).cache()
+    rows = d.select(*mixing.leaf_columns(d, queries.domain(), "doc_id", "text"))
+    leaves = rows.groupBy(*mixing.TREE).agg(F.sum("n_tokens").alias("tokens"))
+    want = {tuple(r[c] for c in mixing.TREE): r["tokens"] + r["budget"] for r in mixing.allocate(leaves, corpus_pipeline.TARGETS).collect()}
+    got = Counter()
+    for r in three.select(*mixing.leaf_columns(three, queries.domain(), "doc_id", "text")).collect():
+        got[r["domain"], r["lang"], r["source"]] += r["n_tokens"]
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    whole = {r["doc_id"]: r["text"] or "" for r in d.select("doc_id", "text").collect()}
+    copies = Counter()
+    for r in three.collect():
+        copies[r["doc_id"]] += 1
+        assert r["text"] is None or whole[r["doc_id"]].startswith(r["text"]) and (r["text"] == whole[r["doc_id"]] or r["n_chars"] == len(r["text"]))
+    assert set(copies) == set(whole) and max(copies.values()) <= corpus_pipeline.TARGETS.max_epochs + 1
+    digests = Counter()
+    for r in three.select("doc_id", "text").collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        back = tokenizer.decode(ids, skip_special_tokens=False)
+        digests[r["doc_id"], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest()] += 1
+    assert Counter(map(tuple, corpus_pipeline.bpe_stage(spark, three, SF).collect())) == digests
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    labels = queries.table(spark, SF, "labels")
+    for name, df in (("odd", odd), ("none", empty)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    kept = {r["doc_id"] for r in out}
+    assert {3, 4, 7, 9, 10, 0} <= kept and not kept & {1, 2, 5, 6}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_token_files_of_one_id(spark, tokenizer):
+    df = spark.createDataFrame([(None, f"row {k} of many {k * 7}") for k in range(10_000)], "doc_id long, text string").repartition(16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = tokenfile.write(df, queries.vocabulary()).cache()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.select("pid").distinct().count() > 3
+    got = tokenfile.read(manifest).orderBy("start").collect()
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+    texts = sorted(f"row {k} of many {k * 7}" for k in range(10_000))
+    for g, t in list(zip(got, texts))[::500]:
+        assert bytes(g["ids"]) == np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
+
+
+def test_vocabularies_that_the_cutter_does_not_know_are_refused():
+    spec = json.loads(open(queries.vocabulary(), encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        with pytest.raises(ValueError):
+            pretoken.specials(spec | change)
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
