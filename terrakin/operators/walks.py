@@ -57,30 +57,39 @@ def _walk_arrays(starts: DataFrame, fan: DataFrame, key: str, walks: int, steps:
     """The same over a broadcast of all fans."""
     rows = fan.select("v", F.size("fan").alias("n"), F.col("fan.hi").alias("hi"), F.col("fan.j").alias("j"), F.col("fan.hit").alias("hit")).orderBy("v").toArrow()
     flat = [np.asarray(pa.concat_arrays(rows.column(c).chunks).flatten().fill_null(x)) if rows.num_rows else np.zeros(0) for c, x in (("hi", -1.0), ("j", 0), ("hit", False))]
-    shared = starts.sparkSession.sparkContext.broadcast((rows.column("v").to_numpy(), np.concatenate(([0], np.cumsum(rows.column("n").to_numpy()))), *flat))
+    shared = starts.sparkSession.sparkContext.broadcast((rows.column("v").to_numpy(), np.concatenate(([0], np.cumsum(rows.column("n").to_numpy()), [0])), *flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ends, hi, j, hit = shared.value
-        place = {v: k for k, v in enumerate(names.tolist())}
+
+        def place(v: np.ndarray) -> np.ndarray:
+            """Where vertices are among the names; -1 where they have no edge."""
+            at = np.minimum(np.searchsorted(names, v), max(len(names) - 1, 0))
+            return np.where(names[at] == v, at, -1) if len(names) else np.full(len(v), -1)
+
         for batch in batches:
-            out = []
-            for start in batch.column(0).to_pylist():
-                for walk in range(walks):
-                    v, done = start, False
-                    for step in range(steps):
-                        u = int(hashlib.md5(f"{key}|{start}|{walk}|{step}".encode()).hexdigest()[:8], 16) / 4294967296.0
-                        k = place.get(v)
-                        over = hi[ends[k] : ends[k + 1]] > u if k is not None else ()
-                        at = int(np.argmax(over)) if len(over) else 0
-                        if not len(over) or not over[at]:
-                            v = None
-                            break
-                        v, done = int(j[ends[k] + at]), bool(hit[ends[k] + at])
-                        if done:
-                            break
-                    out.append((start, walk, v, done))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.bool_()))], ["start", "walk", "v", "hit"])
+            for a in range(0, batch.num_rows, 4_096):
+                own = batch.column(0).slice(a, 4_096).to_numpy()
+                start, walk = np.repeat(own, walks), np.tile(np.arange(walks), len(own))
+                v, dead, done = start.astype(np.int64), np.zeros(len(start), bool), np.zeros(len(start), bool)
+                live = np.arange(len(start))
+                for step in range(steps):
+                    raw = b"".join(hashlib.md5(f"{key}|{s}|{w}|{step}".encode()).digest()[:4] for s, w in zip(start[live].tolist(), walk[live].tolist()))
+                    u, k = np.frombuffer(raw, ">u4") / 4294967296.0, place(v[live])
+                    low, end = np.where(k >= 0, ends[k], 0), np.where(k >= 0, ends[k + 1], 0)
+                    high = end
+                    while (low < high).any():  # the first edge whose running share is over the draw
+                        mid = np.minimum((low + high) // 2, len(hi) - 1)
+                        over = hi[mid] > u
+                        low, high = np.where((low < high) & ~over, mid + 1, low), np.where((low < high) & over, mid, high)
+                    on = low < end
+                    dead[live[~on]] = True
+                    live, at = live[on], low[on]
+                    v[live], done[live] = j[at], hit[at]
+                    live = live[~done[live]]
+                    if not len(live):
+                        break
+                yield pa.RecordBatch.from_arrays([pa.array(start, pa.int64()), pa.array(walk, pa.int32()), pa.array(v, mask=dead), pa.array(done)], ["start", "walk", "v", "hit"])
 
     n = starts.sparkSession.sparkContext.defaultParallelism
     return starts.select("id").repartition(n, "id").mapInArrow(run, "start long, walk int, v long, hit boolean")
