@@ -18,10 +18,6 @@ def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(squared_distance(a, b))
-
-
 def norm(v: Column) -> Column:
     return F.sqrt(total(F.transform(v, lambda x: x * x)))
 

@@ -199,3 +199,10 @@ def label_agreement(knn: DataFrame, points: DataFrame) -> DataFrame:
     a = points.select(F.col("id").alias("q"), F.col("label").alias("own"))
     b = points.select(F.col("id").alias("c"), F.col("label").alias("other"))
     return knn.filter("rank > 0").join(a, "q").join(b, "c").groupBy("q").agg(F.count(F.when(F.col("own") == F.col("other"), 1)).alias("same"), F.count(F.lit(1)).alias("n"))
+
+
+def shifted(knn: DataFrame, points: DataFrame) -> DataFrame:
+    """(id, at, value): every point moved by the mean difference to its neighbours (rank 1 and
+    up), which is to their mean, by dimension."""
+    there = points.select(F.col("id").alias("c"), F.posexplode("features").alias("at", "v"))
+    return knn.filter("rank > 0").select("q", "c").join(there, "c").groupBy(F.col("q").alias("id"), "at").agg(F.avg(F.col("v").cast("double")).alias("value"))

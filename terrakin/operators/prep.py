@@ -33,8 +33,8 @@ def rare_gene_filter(c: DataFrame, min_cells: int = 10) -> DataFrame:
 
 def library_normalized(c: DataFrame, scale: float = 10_000.0) -> DataFrame:
     """Counts as shares of their cell, times ``scale``."""
-    size = c.groupBy("batch", "cell").agg(F.sum("n").alias("size"))
-    return c.join(size, ["batch", "cell"]).select("batch", "cell", "gene", (F.col("n") / F.col("size") * scale).alias("value"))
+    size = F.sum("n").over(Window.partitionBy("batch", "cell"))  # one read of the counts
+    return c.select("batch", "cell", "gene", (F.col("n") / size * scale).alias("value"))
 
 
 def square_root(c: DataFrame) -> DataFrame:
@@ -93,7 +93,3 @@ def l2_normalized_rows(points: DataFrame) -> DataFrame:
     from terrakin.functions.vectors import doubles, l2_normalized
 
     return points.withColumn("features", l2_normalized(doubles(F.col("features"))))
-
-
-def cumulative_rank(df: DataFrame, by: str, order: list) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -230,6 +230,13 @@ ORACLE_SQL = {
         n AS (SELECT count(*) AS n FROM lm1)
         SELECT a."row", c.col::INT AS col, round(coalesce(v.val, 0), 6) AS val FROM (SELECT DISTINCT "row" FROM v) a, (SELECT unnest(range(n)) AS col FROM n) c LEFT JOIN v ON v."row" = a."row" AND v.col = c.col""",
     "gather_by_index": "SELECT a.vec_id AS pos, b.vec_id AS id, b.label FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)",
+    "mean_shift": f"{chain(*L0[:2])} SELECT q AS id, (k - 1)::INT AS at, round(avg(f[k]), 6) AS value FROM knn0 JOIN pts ON id = c, range(1, 65) r(k) WHERE rank > 0 GROUP BY 1, 2",
+    "stacked_report": f"""{chain(*L1, marks(1), POINTS2)},
+        t AS (SELECT 'level 1' AS technique, label FROM lm0 JOIN pts USING (id) UNION ALL SELECT 'level 2', label FROM p2)
+        SELECT technique, round(avg(label), 6) AS mean, round(stddev_pop(label), 6) AS std FROM t GROUP BY technique""",
+    "common_landmarks": f"{chain(*L1, marks(1), POINTS2)} SELECT p2.slot AS pos, orig_id, lm0.slot AS other FROM p2 JOIN lm0 ON lm0.id = orig_id",
+    "vector_distance": f"{chain(PTS)} SELECT a.id || '_' || b.id AS pair, round({D} ** 2, 6) AS d2 FROM pts a JOIN pts b ON b.id = a.id + 1",
+    "curve_grid": f"SELECT k::INT AS at, round(k * {3.0 * PARAMS.spread}::DOUBLE / 299, 6) AS x FROM range(300) r(k)",
     "param_grid": "SELECT a.x AS n_neighbors, b.x AS distance_similarity, c.x AS influence_nw, d.x AS influence_wl FROM (VALUES (15::BIGINT), (100)) a(x), (VALUES (FALSE), (TRUE)) b(x), (VALUES (10::BIGINT), (20), (30), (40)) c(x), (VALUES (5::BIGINT), (10), (20), (30), (40), (50), (60), (70)) d(x)",
     "nearest_level": """WITH s AS (SELECT 0 AS level, count(*) AS size FROM embeddings), t AS (SELECT 1 AS level, floor(0.2::FLOAT * size::FLOAT)::BIGINT AS size FROM s), u AS (SELECT 2 AS level, floor(0.2::FLOAT * size::FLOAT)::BIGINT AS size FROM t)
         SELECT level FROM (SELECT * FROM s UNION ALL SELECT * FROM t UNION ALL SELECT * FROM u) ORDER BY abs(size - 70), level LIMIT 1""",

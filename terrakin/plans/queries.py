@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from terrakin.functions import vectors
 from terrakin.functions.curve import find_ab
 from terrakin.operators import drill, fuzzy, knn as nn, landmarks as lm, layout, metrics, ownership, prep, tables, walks
 from terrakin.operators.components import components
@@ -397,6 +398,36 @@ def doc_lookup_join(spark, sf):
     return tables.linked(m.levels[1].points, table(spark, sf, "documents"), "doc_id", "text").select("slot", "orig_id", "label", "document")
 
 
+def mean_shift(spark, sf):
+    p = embeddings(spark, sf)
+    return nn.shifted(nn.exact(p, PARAMS.n_neighbors), p).select("id", "at", r6("value").alias("value"))
+
+
+def stacked_report(spark, sf):
+    """Labels of both upper levels under each other, and their mean and deviation."""
+    m = model(spark, sf)
+    stacked = tables.stacked_levels({f"level {k}": m.levels[k].points for k in (1, 2)})
+    report = metrics.report(stacked, ["technique"], "label")
+    return report.select("technique", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+def common_landmarks(spark, sf):
+    m = model(spark, sf)
+    return tables.common_landmarks(m.levels[2].points, m.levels[1].points).select("pos", "orig_id", "other")
+
+
+def vector_distance(spark, sf):
+    """Squared distances of neighbours in id order, under the pair's name."""
+    p = embeddings(spark, sf).select("id", vectors.doubles(F.col("features")).alias("f"))
+    after = p.select((F.col("id") - 1).alias("id"), F.col("f").alias("g"))
+    return p.join(after, "id").select(vectors.pair_name(F.col("id"), F.col("id") + 1).alias("pair"), r6(vectors.squared_distance(F.col("f"), F.col("g"))).alias("d2"))
+
+
+def curve_grid(spark, sf):
+    """The places at which the layout's curve is fitted."""
+    return spark.range(1).select(F.posexplode(vectors.linspace(0.0, 3.0 * PARAMS.spread, 300)).alias("at", "x")).select("at", r6("x").alias("x"))
+
+
 def pca_2(spark, sf):
     """Places on the two main axes, whose signs are free, as distances from the middle."""
     parts = materialize(prep.pca(embeddings(spark, sf), 2).select("id", F.col("features")[0].alias("a"), F.col("features")[1].alias("b")), "pca_parts")
@@ -416,7 +447,7 @@ _NAMES = [
     random_init, fixed_rescale, sgd_edge_gradient, sgd_push, spectral_init, embed_level, embed_with_fixed, umap_flat, layout_quality,
     metric_stress, metric_spearman, metric_np, metric_procrustes,
     library_size_filter, rare_gene_filter, lib_norm_sqrt, prefix_filter, label_encode, batch_union,
-    sparse_symmetric, sparse_rows, dense_rows, gather_by_index, param_grid, nearest_level, sample_n, train_split, l2_normalize, doc_lookup_join, pca_2, kmeans_selection,
+    sparse_symmetric, sparse_rows, dense_rows, gather_by_index, param_grid, nearest_level, sample_n, train_split, l2_normalize, doc_lookup_join, mean_shift, stacked_report, common_landmarks, vector_distance, curve_grid, pca_2, kmeans_selection,
 ]
 
 QUERIES = {f.__name__: f for f in _NAMES}

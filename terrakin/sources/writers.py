@@ -15,6 +15,13 @@ def read_layouts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="label int, x double, y double, ind long, dataset string, technique string, it int, level int")
 
 
+def log_line(spark: SparkSession, path: str, **values: str | int | float | bool) -> None:
+    """Add a line to a log of such lines: timings, or the parameters of a study's runs."""
+    kinds = {bool: "boolean", int: "long", float: "double", str: "string"}
+    schema = ", ".join(f"{name} {kinds[type(v)]}" for name, v in values.items())
+    spark.createDataFrame([tuple(values.values())], schema).coalesce(1).write.mode("append").csv(path)
+
+
 def log_seconds(spark: SparkSession, path: str, technique: str, phase: str, seconds: float) -> None:
     """Add a line to a timing log."""
-    spark.createDataFrame([(technique, phase, float(seconds))], "technique string, phase string, seconds double").coalesce(1).write.mode("append").csv(path)
+    log_line(spark, path, technique=technique, phase=phase, seconds=float(seconds))

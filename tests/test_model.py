@@ -213,6 +213,19 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.npy_points(spark, str(tmp_path / "x.npy")).count() == 4
     (tmp_path / "m.mtx").write_text("%%MatrixMarket\n3 2 2\n1 1 5\n3 2 7\n")
     assert {tuple(r) for r in readers.market_matrix(spark, str(tmp_path / "m.mtx")).collect()} == {(0, 0, 5.0), (2, 1, 7.0)}
+    (tmp_path / "tenx").mkdir()
+    (tmp_path / "tenx" / "matrix.mtx").write_text("%%MatrixMarket\n2 2 2\n1 1 5\n2 2 7\n")
+    (tmp_path / "tenx" / "genes.tsv").write_text("g1\tACTB\ng2\tMT-CO1\n")
+    assert {tuple(r) for r in readers.ten_x(spark, str(tmp_path / "tenx"), "b1").collect()} == {("b1", 0, "ACTB", 5.0), ("b1", 1, "MT-CO1", 7.0)}
+    spark.range(2).write.parquet(str(tmp_path / "s1"))
+    spark.range(3).withColumn("more", F.lit("x")).write.parquet(str(tmp_path / "s2"))
+    both = readers.shards(spark, [str(tmp_path / "s1"), str(tmp_path / "s2")])
+    assert both.count() == 5 and both.filter("more is null").count() == 2
+    for phase in ("Fit", "Level 2"):
+        writers.log_seconds(spark, str(tmp_path / "times"), "t", phase, 1.5)
+    writers.log_line(spark, str(tmp_path / "study"), id=3, distance_similarity=False, n_neighbors=15, value=0.5)
+    assert {tuple(r) for r in spark.read.csv(str(tmp_path / "times")).collect()} == {("t", "Fit", "1.5"), ("t", "Level 2", "1.5")}
+    assert tuple(spark.read.csv(str(tmp_path / "study")).first()) == ("3", "false", "15", "0.5")
     places = spark.createDataFrame([(1, 0, 5, 2, 0.5, 0.25)], "level int, slot long, orig_id long, label int, x double, y double")
     for it in (0, 1, 1):
         writers.write_layout(places, str(tmp_path / "out"), "d", "t", it)
