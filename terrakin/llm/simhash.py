@@ -22,8 +22,10 @@ A similarity of shingle sets (Jaccard) is beyond any usable ``tau``: at 0.8 two
 differ in 10 of 64 bits on average. ``unlike`` therefore has links of its own: texts whose
 MinHashes agree in one of ``BANDS`` bands of ``ROWS`` are candidates, and candidates are
 compared by their whole sets. A pair at exactly 0.8 shares no band with probability 6e-5.
-Buckets of at most ``PAIRED`` sets compare all pairs; in larger ones each member is compared
-with ``HUBS`` others, so a link there can be missed where no chain of links joins the two.
+Buckets of at most ``PAIRED`` sets compare all pairs. In larger ones each member is first
+compared with ``HUBS`` others, which joins most of a large group; where that leaves a bucket
+in several components, all its pairs that can be alike by size and are not joined yet are
+compared as well, in blocks of about ``MET`` sets or ``GRAMS`` shingles that meet two by two.
 
 Defined results: null and empty texts have no shingles and fingerprint 0, linked like any
 other; fewer words than the shingle length make one shingle of all words; very long texts are
@@ -49,6 +51,7 @@ BUCKET = 2 * 65 + 1
 BLOCK = 1 << 15  # shingles counted at once: bounds memory on very long texts
 ROW = "row struct<a:long,b:long>"
 BANDS, ROWS, PAIRED, HUBS = 32, 6, 32, 4
+MET, GRAMS = 512, 1 << 19  # a block's sets and shingles: bounds the memory of a meeting
 _DRAWN = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
 FACTORS, SHIFTS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
@@ -207,9 +210,82 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _firsts(docs, id_col, rooted)
 
 
+def _sets(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame, words: int, seed: int) -> DataFrame:
+    """(body, grams): the shingle sets of ``asked``, which has body and first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(t.as_py(), words, seed).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["body", "grams"])
+
+    asked = asked.select("body", F.col("first.id").alias("own_id"), F.col("first.unnamed").alias("unnamed"), F.col("first.row").alias("own_row"))
+    named = F.col(id_col).cast("long")
+    texts = docs.select(F.coalesce(named, F.lit(0)).alias("own_id"), named.isNull().alias("unnamed"), row_key(docs).alias("own_row"), F.col(text_col).alias("t"))
+    found = texts.join(asked, ["own_id", "unnamed", "own_row"]).dropDuplicates(["body"]).select("body", "t")
+    return materialize(found.mapInArrow(run, "body long, grams array<long>"), "simhash_sets")
+
+
+def _met(table: pa.Table, permille: int) -> pa.Table:
+    """(a, b): alike pairs of one meeting that are in different components so far; what a pair
+    joins counts for the pairs after it. Rows have body, size, root, grams and whether they
+    are of the second block; without such rows the first block meets itself."""
+    table = table.combine_chunks().sort_by("size")
+    body, size, root, second = (table[c].to_numpy().copy() for c in ("body", "size", "root", "second"))
+    ends = np.cumsum(size)
+    starts = ends - size
+    grams = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in table["grams"].chunks)])
+    code = np.unique(grams, return_inverse=True)[1]
+    there, out = np.zeros(int(code.max(initial=-1)) + 1, bool), []
+    alone = not second.any()
+    for x in range(len(body)):  # with the larger sets: those after it
+        upto = int(np.searchsorted(size * permille, size[x] * 1000, side="right"))
+        some = np.flatnonzero((root[x + 1 : upto] != root[x]) & (alone | (second[x + 1 : upto] != second[x]))) + x + 1
+        if not len(some):
+            continue
+        there[code[starts[x] : ends[x]]] = True
+        lo, hi = some[0], some[-1] + 1
+        common = np.add.reduceat(there[code[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], dtype=np.int64)[some - lo]
+        there[code[starts[x] : ends[x]]] = False
+        for y in some[common * 1000 >= (size[x] + size[some] - common) * permille]:
+            if root[y] != root[x]:
+                out.append((body[x], body[y]))
+                root[root == root[y]] = root[x]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _across(hot: DataFrame, labels: DataFrame, sets: DataFrame, permille: int) -> DataFrame:
+    """(a, b): links that join what ``labels``, (node, root) of the links so far, leaves apart
+    in the buckets of ``hot``: (band, key, body, size). All of a bucket's pairs are compared
+    but those in one component and those whose sizes rule them out."""
+    bucket, block = ["band", "key"], ["band", "key", "grade", "slot"]
+    rooted = hot.join(labels.withColumnRenamed("node", "body"), "body", "left").select(*bucket, "body", "size", F.coalesce("root", "body").alias("root"))
+    apart = rooted.groupBy(*bucket).agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select(*bucket)
+    # Sizes of one grade are about alike, so few grades of a bucket meet; the meetings
+    # themselves go by the blocks' real sizes.
+    graded = rooted.join(apart, bucket).withColumn("grade", F.floor(F.log("size") / math.log(1000 / min(permille, 999))))
+    wide = graded.groupBy(*bucket, "grade").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MET, F.sum("size") / GRAMS)).alias("slots"))
+    dealt = graded.join(wide, [*bucket, "grade"]).select(*bucket, "grade", F.pmod(F.xxhash64("body"), "slots").alias("slot"), "body", "size", "root")
+    dealt = materialize(dealt, "simhash_blocks")
+    blocks = dealt.groupBy(*block).agg(*[f(c).alias(f"{n}_{c}") for c in ("size", "root") for f, n in ((F.min, "least"), (F.max, "most"))])
+    one, two = (blocks.select(*bucket, F.struct(*blocks.columns[2:]).alias(n)) for n in "xy")
+    at = lambda n: F.struct(f"{n}.grade", f"{n}.slot")
+    fits = [F.col(f"{p}.most_size") * 1000 >= F.col(f"{q}.least_size") * permille for p, q in ("xy", "yx")]
+    apart = F.least("x.least_root", "y.least_root") < F.greatest("x.most_root", "y.most_root")
+    meetings = one.join(two, bucket).filter((at("x") <= at("y")) & fits[0] & fits[1] & apart)
+    meetings = meetings.select(*bucket, F.struct(at("x").alias("x"), at("y").alias("y")).alias("meeting"), F.explode(F.array_distinct(F.array(at("x"), at("y")))).alias("own"))
+    meetings = meetings.select(*bucket, "own.grade", "own.slot", F.to_json("meeting").alias("meeting"), (F.col("own") != F.col("meeting.x")).alias("second"))
+    full = dealt.join(meetings, block).join(sets, "body").select(*bucket, "meeting", "second", "body", "size", "root", "grams")
+    # A number of partitions is given, so that few bytes are not taken for little work.
+    full = full.repartition(int(full.sparkSession.conf.get("spark.sql.shuffle.partitions")), *bucket, "meeting")
+    return full.groupBy(*bucket, "meeting").applyInArrow(lambda t: _met(t, permille), "a long, b long")
+
+
 def _alike(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, permille: int, words: int, seed: int) -> DataFrame:
-    """(a, b): bodies (digests of sets) whose shingle sets are alike in ``permille`` thousandths or more.
-    ``nodes`` has body, size, keys and first, the (unnamed, id, row) of one row with it."""
+    """(node, root): the components of bodies (digests of sets) whose shingle sets are alike in
+    ``permille`` thousandths or more. ``nodes`` has body, size, keys and first, the
+    (unnamed, id, row) of one row with it."""
     posted = nodes.select("body", "size", F.posexplode("keys").alias("band", "key"))
     sizes = posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(posted.join(sizes, ["band", "key"]), "simhash_bands")
@@ -224,22 +300,16 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, permil
     fits = F.least("x.size", "y.size") * 1000 >= F.greatest("x.size", "y.size") * permille
     near = materialize(both.filter(fits).select(F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct(), "simhash_candidates")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [shingle_set(t.as_py(), words, seed).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["body", "grams"])
-
-    asked = near.select(F.col("a").alias("body")).union(near.select(F.col("b").alias("body"))).distinct()
-    asked = asked.join(nodes.select("body", F.col("first.id").alias("own_id"), F.col("first.unnamed").alias("unnamed"), F.col("first.row").alias("own_row")), "body")
-    named = F.col(id_col).cast("long")
-    texts = docs.select(F.coalesce(named, F.lit(0)).alias("own_id"), named.isNull().alias("unnamed"), row_key(docs).alias("own_row"), F.col(text_col).alias("t"))
-    found = texts.join(asked, ["own_id", "unnamed", "own_row"]).dropDuplicates(["body"]).select("body", "t")
-    sets = materialize(found.mapInArrow(run, "body long, grams array<long>"), "simhash_sets")
+    asked = near.select(F.col("a").alias("body")).union(near.select(F.col("b").alias("body"))).union(hot.select("body")).distinct()
+    sets = _sets(docs, id_col, text_col, asked.join(nodes.select("body", "first"), "body"), words, seed)
     met = near.join(sets.select(F.col("body").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("body").alias("b"), F.col("grams").alias("gb")), "b")
     met = met.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"), (F.size("ga") + F.size("gb")).alias("all"))
-    return met.filter(F.col("common") * 1000 >= (F.col("all") - F.col("common")) * permille).select("a", "b")
+    found = materialize(met.filter(F.col("common") * 1000 >= (F.col("all") - F.col("common")) * permille).select("a", "b"), "simhash_alike")
+    labels = components(found, "a", "b")
+    if hot.isEmpty():
+        return labels
+    more = materialize(_across(hot.select("band", "key", "body", "size"), labels, sets, permille), "simhash_across")
+    return labels if more.isEmpty() else components(found.union(more), "a", "b")
 
 
 def unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, permille: int = 800, seed: int = 42) -> DataFrame:
@@ -261,6 +331,6 @@ def unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     marked = keyed.mapInArrow(run, f"id long, {ROW}, body long, size long, keys array<long>")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), F.col("row")))
     nodes = materialize(marked.groupBy("body").agg(first.alias("first"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "simhash_bodies")
-    labels = components(_alike(docs, id_col, text_col, nodes, permille, words, seed), "a", "b")
+    labels = _alike(docs, id_col, text_col, nodes, permille, words, seed)
     rooted = nodes.join(labels.withColumnRenamed("node", "body"), "body", "left").select(F.coalesce("root", "body").alias("root"), "first")
     return _firsts(docs, id_col, rooted)

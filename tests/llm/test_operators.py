@@ -432,6 +432,17 @@ def test_pipeline_keeps_no_two_texts_alike(spark, odd, empty):
     assert stage(spark, empty, SF).isEmpty()
 
 
+@pytest.mark.parametrize("met", [simhash.MET, 16])
+def test_large_buckets_lose_no_link(spark, monkeypatch, met):
+    """Texts of one core that are alike only through one text, which few buckets have as a hub."""
+    monkeypatch.setattr(simhash, "MET", met)
+    core = [f"c{k}" for k in range(104)]
+    rows = [(k, " ".join(core + [f"t{k}.{w}" for w in range(20 if k < 300 else 45)])) for k in range(310)]
+    rows += [(310, " ".join([*core, "z"]))]
+    kept = {r[0] for r in simhash.unlike(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == {0, *range(300, 310)}
+
+
 def test_bands_reach_similar_sets():
     rng = np.random.default_rng(1)
     met = 0
