@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from terrakin.llm.arrays import Table, binary, bytes_of, ranges, slices
+from terrakin.llm.arrays import Table, binary, bytes_of, ranges, slices, thrifty
 from terrakin.llm.pretoken import Ids, Units, as_ids, byte_letters, specials, spelled, spread
 
-SLICE = 8 << 20  # bytes of text encoded together
+SLICE = 4 << 20  # bytes of text encoded together
 LONG = 128
 PAIRS = 1 << 19  # compatibility answers that are kept
 
@@ -348,7 +348,7 @@ def coded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([some.column(0), raw, decoder.texts(read)], ["id", "ids", "text"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, StructType([rows.schema["id"], StructField("ids", BinaryType()), StructField("text", StringType())]))
+    return rows.mapInArrow(thrifty(run), StructType([rows.schema["id"], StructField("ids", BinaryType()), StructField("text", StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,6 +44,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terrakin.llm.arrays import thrifty
 from terrakin.llm.common import components, materialize
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -202,7 +203,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = np.fromiter((fingerprint(t.as_py(), how.get("words", 3), how.get("seed", 42)) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], ["id", "row", "fp"])
 
-    marked = materialize(keyed.mapInArrow(run, f"id long, {ROW}, fp long"), "simhash_rows")
+    marked = materialize(keyed.mapInArrow(thrifty(run), f"id long, {ROW}, fp long"), "simhash_rows")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), F.col("row")))
     fps = materialize(marked.groupBy("fp").agg(first.alias("first")), "simhash_firsts")
     labels = components(links(fps.select("fp"), how.get("tau", 2), how.get("m", 9), how.get("bucket", BUCKET)), "a", "b")
@@ -224,7 +225,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame, words:
     named = F.col(id_col).cast("long")
     texts = docs.select(F.coalesce(named, F.lit(0)).alias("own_id"), named.isNull().alias("unnamed"), row_key(docs).alias("own_row"), F.col(text_col).alias("t"))
     found = texts.join(asked, ["own_id", "unnamed", "own_row"]).dropDuplicates(["body"]).select("body", "t")
-    return materialize(found.mapInArrow(run, "body long, grams array<long>"), "simhash_sets")
+    return materialize(found.mapInArrow(thrifty(run), "body long, grams array<long>"), "simhash_sets")
 
 
 def _met(table: pa.Table, permille: int) -> pa.Table:
@@ -328,7 +329,7 @@ def unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                 size.append(len(own)), keys.append(bands(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(body.view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "body", "size", "keys"])
 
-    marked = keyed.mapInArrow(run, f"id long, {ROW}, body long, size long, keys array<long>")
+    marked = keyed.mapInArrow(thrifty(run), f"id long, {ROW}, body long, size long, keys array<long>")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), F.col("row")))
     nodes = materialize(marked.groupBy("body").agg(first.alias("first"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "simhash_bodies")
     labels = _alike(docs, id_col, text_col, nodes, permille, words, seed)

@@ -41,6 +41,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from terrakin.llm.arrays import thrifty
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORDS, WIDEST = 8, 1024
 LEVEL, STRATEGY, MATCH = 9, zstandard.STRATEGY_BTLAZY2, 4
@@ -211,4 +213,4 @@ def rejected(docs: DataFrame, model: Model, text_col: str = "text", cutoff: floa
         for batch in batches:
             yield batch.filter(pa.array([m.score(t.as_py()) < cutoff for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
