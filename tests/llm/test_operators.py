@@ -16,7 +16,7 @@ from oracle import assert_same
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrakin.llm import bpe, chat, ctw, globs, mixing, ogg, pretoken, queries, simhash, tokenfile, topk, toxicity
+from terrakin.llm import arrays, bpe, chat, ctw, globs, mixing, ogg, pretoken, queries, simhash, tokenfile, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, t string, key string, row long, n long, fp long, train boolean, domain string"
@@ -508,6 +508,24 @@ def test_bpe_equals_the_library(spark, odd, empty, tokenizer):
     assert bpe.round_trip(empty, queries.vocabulary()).isEmpty()
 
 
+def test_workers_give_memory_back():
+    """Freed blocks below one that stays in use go back to the system."""
+    held, kept = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10, []
+
+    def run(batches):
+        for batch in batches:
+            many = [bytes(600) for _ in range(200_000)]
+            kept.append(bytes(600))
+            del many
+            yield batch
+
+    left = []
+    for f in (run, arrays.thrifty(run)):
+        assert list(f(iter([1, 2]))) == [1, 2]
+        left.append(held())
+    assert left[1] < left[0] - 60
+
+
 def test_bpe_on_random_strings(tokenizer):
     coder = bpe.Bpe(open(queries.vocabulary(), encoding="utf-8").read())
     table = bpe.OffsetTable(open(queries.vocabulary(), encoding="utf-8").read())
