@@ -1,10 +1,13 @@
 """What grows with the input no faster than it, seen at small sizes: bytes shuffled and spilled."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrakin.operators import knn as nn
+from terrakin.operators import knn as nn, layout, tables
+from terrakin.plans import queries
 from terrakin.plans.queries import embeddings
 
 SF = "/root/testdata/sf0.1"
@@ -59,3 +62,40 @@ def test_exact_neighbours_of_odd_vectors(spark, kind):
     for r in nn.exact(p, 8, 64).filter("rank > 0").collect():
         got[r["q"], r["rank"] - 1] = r["c"]
     assert (got == by_hand(x, 7)).all()
+
+
+def test_means_of_neighbours_move_whole_vectors(spark):
+    p = embeddings(spark, SF)
+    near = spark.range(2_000).select(F.col("id").alias("q"), F.explode(F.sequence(F.lit(1), F.lit(14))).alias("rank")).withColumn("c", F.pmod(F.col("q") * 31 + F.col("rank") * 17, F.lit(2_000)))
+    assert moved(spark, lambda: nn.shifted(near, p).write.format("noop").mode("overwrite").save()) < 14 * POINTS
+
+
+def test_wide_dense_rows(spark):
+    """A width of 20,000: looking up each column among a row's 2,000 entries took minutes."""
+    e = spark.range(40).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(19_999), F.lit(10))).alias("col")).withColumn("val", F.col("col") + F.col("row") + 0.5)
+    begun = time.monotonic()
+    got = tables.dense_rows(e, 20_000).agg(F.count("*"), F.min(F.size("features")), F.max(F.size("features")), F.sum(F.aggregate("features", F.lit(0.0), lambda a, x: a + x))).first()
+    assert tuple(got) == (40, 20_000, 20_000, sum(c + r + 0.5 for r in range(40) for c in range(0, 20_000, 10)))
+    assert time.monotonic() - begun < 10
+    few = spark.createDataFrame([(7, 1, 2.0), (7, 9, 1.0), (8, 0, None)], "row long, col int, val double")
+    assert {r["row"]: r["features"] for r in tables.dense_rows(few, 3).collect()} == {7: [0.0, 2.0, 0.0], 8: [0.0, 0.0, 0.0]}
+
+
+def test_large_components_send_nothing_to_the_driver(spark, monkeypatch):
+    """A ring of 400 with growing weights, solved densely, in one task and by joins."""
+    ring = [(k, (k + 1) % 400, 1.0 + (k % 7) / 10 + k / 400) for k in range(400)]
+    g = spark.createDataFrame([e for a, b, w in ring for e in ((a, b, w), (b, a, w))], "i long, j long, w double").cache()
+    dense = layout.spectral_init(g, spark.range(400)).orderBy("id").toPandas()[["x", "y"]].to_numpy()
+    monkeypatch.setattr(layout, "DENSE", 50)
+    monkeypatch.setattr(layout, "_lanczos", None)  # no step is a job of its own
+    assert np.allclose(layout.spectral_init(g, spark.range(400)).orderBy("id").toPandas()[["x", "y"]].to_numpy(), dense, atol=2e-2)
+
+
+def test_layout_quality_asks_all_points(spark, monkeypatch):
+    seen = []
+    real = nn.exact
+    monkeypatch.setattr(queries.metrics, "SAMPLE", 60)
+    monkeypatch.setattr(queries, "umap_flat", lambda spark, sf: embeddings(spark, sf).select(F.col("id").alias("slot"), F.col("features")[0].alias("x"), F.col("features")[1].alias("y")))
+    monkeypatch.setattr(queries.nn, "exact", lambda p, k: seen.append(p.count()) or real(p, k))
+    got = queries.layout_quality(spark, "/root/testdata/sf0.01").first()
+    assert seen == [500, 500, 500] and got["placed"] == 500
