@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrakin.operators import knn as nn, layout, tables
+from terrakin.operators import knn as nn, layout, metrics, tables, walks
 from terrakin.plans import queries
 from terrakin.plans.queries import embeddings
 
@@ -99,3 +99,25 @@ def test_layout_quality_asks_all_points(spark, monkeypatch):
     monkeypatch.setattr(queries.nn, "exact", lambda p, k: seen.append(p.count()) or real(p, k))
     got = queries.layout_quality(spark, "/root/testdata/sf0.01").first()
     assert seen == [500, 500, 500] and got["placed"] == 500
+
+
+def test_epochs_of_large_layouts_are_passes_over_blocks(spark, monkeypatch):
+    """300 vertices in blocks of 64, some of them fixed and one without edges: the same as in
+    one task, without a join in an epoch."""
+    rng = np.random.default_rng(3)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 299, (900, 2)) if a < b}
+    g = spark.createDataFrame([e for a, b in pairs for e in ((2 * a, 2 * b, 0.1 + (a + b) % 10 / 10), (2 * b, 2 * a, 0.1 + (a + b) % 10 / 10))], "i long, j long, w double")
+    start = layout.random_init(spark.range(0, 600, 2), 0, 1).withColumn("is_fixed", F.col("id") % 10 == 0)
+    one = layout.optimized(start, g, 1.4, 0.9, 6, 42).orderBy("id").toPandas().to_numpy()
+    monkeypatch.setattr(layout, "ROWS", 0)
+    monkeypatch.setattr(layout, "edge_gradient", None)
+    assert np.allclose(layout.optimized(start, g, 1.4, 0.9, 6, 42).orderBy("id").toPandas().to_numpy(), one, atol=1e-9)
+
+
+def test_walks_pass_no_graph_by_the_driver(spark, monkeypatch):
+    e = spark.range(600).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank")).withColumn("j", F.pmod(F.col("i") * 7 + F.col("rank"), F.lit(600))).withColumn("p", F.lit(1 / 3))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)
+    arrays = walks.end_points(e, 0, 42, 3, 4)
+    assert arrays.agg(F.sum("cnt")).first()[0] == 1_800
+    monkeypatch.setattr(walks, "EDGES", 0)
+    assert metrics.reproducible(arrays, walks.end_points(e, 0, 42, 3, 4))
