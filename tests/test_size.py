@@ -71,7 +71,7 @@ def test_means_of_neighbours_move_whole_vectors(spark):
 
 
 def test_wide_dense_rows(spark):
-    """A width of 20,000: looking up each column among a row's 2,000 entries took minutes."""
+    """A width of 20,000, of which each row has 2,000 entries."""
     e = spark.range(40).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(19_999), F.lit(10))).alias("col")).withColumn("val", F.col("col") + F.col("row") + 0.5)
     begun = time.monotonic()
     got = tables.dense_rows(e, 20_000).agg(F.count("*"), F.min(F.size("features")), F.max(F.size("features")), F.sum(F.aggregate("features", F.lit(0.0), lambda a, x: a + x))).first()
@@ -121,3 +121,20 @@ def test_walks_pass_no_graph_by_the_driver(spark, monkeypatch):
     assert arrays.agg(F.sum("cnt")).first()[0] == 1_800
     monkeypatch.setattr(walks, "EDGES", 0)
     assert metrics.reproducible(arrays, walks.end_points(e, 0, 42, 3, 4))
+
+
+def test_neighbours_of_neighbours_copy_no_vectors(spark):
+    """Each of two rounds measures up to 400 pairs a point, of two vectors each."""
+    p = embeddings(spark, SF)
+    kept, limit = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moved(spark, lambda: kept.extend(nn.approximate(p, 15, trees=2).collect())) < 45 * POINTS
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    x = np.array([r["features"] for r in p.orderBy("id").collect()])
+    want, got = by_hand(x, 14), np.full((2_000, 14), -1)
+    for r in kept:
+        if r["rank"]:
+            got[r["q"], r["rank"] - 1] = r["c"]
+    assert np.mean([len(set(a) & set(b)) / 14 for a, b in zip(want.tolist(), got.tolist())]) > 0.6
