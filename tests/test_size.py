@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrakin.operators import knn as nn, layout, metrics, tables, walks
+from terrakin.operators import drill, knn as nn, layout, metrics, tables, walks
 from terrakin.plans import queries
 from terrakin.plans.queries import embeddings
 
@@ -138,3 +138,16 @@ def test_neighbours_of_neighbours_copy_no_vectors(spark):
         if r["rank"]:
             got[r["q"], r["rank"] - 1] = r["c"]
     assert np.mean([len(set(a) & set(b)) / 14 for a, b in zip(want.tolist(), got.tolist())]) > 0.6
+
+
+def test_padding_turns_only_the_selection_around(spark, monkeypatch):
+    m = queries.model(spark, "/root/testdata/sf0.001")
+    seen = []
+    real = tables.symmetric
+    monkeypatch.setattr(tables, "symmetric", lambda e: seen.append(e.count()) or real(e))
+    some = spark.range(2).withColumnRenamed("id", "slot")
+    got = m.padded_neighbors(2, 5, slots=some)
+    monkeypatch.undo()
+    nodes = m.members(2, slots=some).select("id")
+    assert seen and seen[0] < m.levels[1].distances.count() / 4
+    assert metrics.reproducible(got, drill.padded_neighbors(m.get_data(1), nodes, 5))
